@@ -270,4 +270,4 @@ def _all_grams(hashes: np.ndarray, width: int) -> np.ndarray:
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """docs without the documents that hold a test item; rows with a null doc_id stay."""
-    return docs.join(benchmark_overlaps(docs, items, **options).select("doc_id").distinct(), "doc_id", "left_anti")
+    return docs.join(stored(benchmark_overlaps(docs, items, **options).select("doc_id").distinct()), "doc_id", "left_anti")

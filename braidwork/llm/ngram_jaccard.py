@@ -346,5 +346,5 @@ def link_components(docs: DataFrame, **options) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """docs without the documents that link, directly or by steps, to one with a smaller doc_id."""
-    known = link_components(docs, **options).where("doc_id <> component_id").select("doc_id").distinct()
+    known = stored(link_components(docs, **options).where("doc_id <> component_id").select("doc_id").distinct())
     return docs.join(known, "doc_id", "left_anti")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import small_batches
+from ._store import small_batches, stored
 from ._text import Words, chunks, mix
 
 _U = np.uint64
@@ -69,16 +69,18 @@ class Ftrl:
         self.w[at] = np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((self.beta + np.sqrt(more)) / self.alpha + self.l2))
 
 
-def train_toxicity(labelled: DataFrame, *, bits: int = 20, max_rows: int = 20_000, epochs: int = 2, alpha: float = 0.5, beta: float = 1.0, l1: float = 4.0, l2: float = 1.0) -> ToxicityModel:
-    """Learn from labelled (doc_id, text, toxic); rows with a null toxic count as unlabelled."""
-    spark = labelled.sparkSession
+def train_toxicity(docs: DataFrame, labels: DataFrame, *, bits: int = 20, max_rows: int = 20_000, epochs: int = 2, alpha: float = 0.5, beta: float = 1.0, l1: float = 4.0, l2: float = 1.0) -> ToxicityModel:
+    """Learn from the texts of docs (doc_id, text) that labels (doc_id, toxic) mark.
+
+    A doc_id that labels repeat takes its largest toxic; a null toxic or doc_id is no label. Without
+    labels every score is a half.
+    """
+    spark = docs.sparkSession
     small_batches(spark)
-    rows = labelled.where("toxic is not null").select(F.xxhash64("doc_id", F.lit(3)).alias("h"), "text", F.col("toxic").cast("int").alias("toxic"))
-    known = rows.count()
-    # the rows of the least hashes: a threshold first, so that no sort of all texts is needed
-    if known > max_rows:
-        edge = rows.select("h").approxQuantile("h", [max_rows / known], 0.001)[0]
-        rows = rows.where(F.col("h") <= edge).orderBy("h").limit(max_rows)
+    known = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
+    # max_rows bounds what is broadcast here
+    picked = stored(known.orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(max_rows))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, samples, label = Ftrl(1 << bits, alpha, beta, l1, l2), [], []
