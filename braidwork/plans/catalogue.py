@@ -1,0 +1,9 @@
+"""The registered queries over the sequence and statistics operators, and their SQL."""
+
+
+def queries():
+    return {}
+
+
+def oracle_sql():
+    return {}
