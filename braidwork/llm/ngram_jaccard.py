@@ -12,10 +12,11 @@ one unit or differs by one element at most in a segment with two, so it meets un
   of sets and their mean size (see ``plan_bands``). ``slack`` more units than needed are allotted, so a
   set may leave out its emptiest and most frequent keys. Leaving out depends on the key alone, and a set
   whose keys of that kind exceed the slack keeps all of them; so no pair is lost.
-* Equal sets are one class from the start. One candidate a class is verified first, and those links
-  are contracted; only keys whose classes are still apart are searched whole, group by group, inside
-  tasks. A group larger than ``group_limit`` is cut into blocks and searched block against block.
-* Verification counts the common shingles (64-bit hashes) exactly.
+* Equal sets are one class from the start. Keys whose sets overlap are searched together inside tasks,
+  which compare only sets that aren't connected yet and return links that span all links; pairs are
+  never written out. A family of more than ``load`` shingles is dealt out by key, and a key with more
+  than ``group_limit`` sets by pairs of blocks.
+* Verification counts the common shingles (48 bits of their hashes) exactly.
 """
 
 from __future__ import annotations
@@ -179,25 +180,32 @@ def _key_batch(out: list[tuple]) -> pa.RecordBatch:
     )
 
 
-def _set_tokens(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(set_id, items array<long>) of the documents named in wanted (doc_id, set_id)."""
+def _pack(items: np.ndarray) -> bytes:
+    """Sorted 64-bit values to six bytes each, their upper ones: 48 bits tell a pair's shingles apart."""
+    return np.ascontiguousarray(items.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def _unpack(raw: bytes) -> np.ndarray:
+    wide = np.zeros((len(raw) // 6, 8), np.uint8)
+    wide[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return wide.view(">u8")[:, 0].astype(np.uint64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            items = [x.view(np.int64) for _, x in _sets(batch.column(1), width)]
-            offs = np.cumsum([0, *map(len, items)])
-            yield pa.record_batch([batch.column(0), pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(np.concatenate(items) if items else np.zeros(0, np.int64)))], ["set_id", "items"])
 
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.select("doc_id", "set_id"), "doc_id").select("set_id", "text")
-    return picked.mapInArrow(run, "set_id long, items array<long>")
+def _with_items(docs: DataFrame, asked: DataFrame, width: int) -> DataFrame:
+    """The rows of asked (doc_id, deal, set_id, buckets) with the packed shingles of the document."""
+    schema = "deal long, set_id long, buckets array<long>, items binary"
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            items = [_pack(x) for _, x in _sets(batch.column(0), width)]
+            lists = batch.column(1)
+            n = lists.value_lengths().to_numpy(zero_copy_only=False)
+            flat = lists.flatten()
+            row = pa.array(np.repeat(np.arange(len(batch)), n))
+            yield pa.record_batch([flat.field(0), flat.field(1), flat.field(2), pa.array(items, pa.binary()).take(row)], ["deal", "set_id", "buckets", "items"])
 
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of set ids that link."""
-    left = sets.select(F.col("set_id").alias("a"), F.col("items").alias("x"))
-    right = sets.select(F.col("set_id").alias("b"), F.col("items").alias("y"))
-    common = F.size(F.array_intersect("x", "y"))
-    return pairs.join(left, "a").join(right, "b").where(common * (num + den) >= num * (F.size("x") + F.size("y"))).select("a", "b")
+    by_doc = asked.groupBy("doc_id").agg(F.collect_list(F.struct("deal", "set_id", "buckets")).alias("deals"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(by_doc, "doc_id").select("text", "deals").mapInArrow(run, schema)
 
 
 def _then_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
@@ -207,52 +215,49 @@ def _then_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | N
     yield None
 
 
-def _spanning_links(ids: np.ndarray, items: list[np.ndarray], mark: np.ndarray, num: int, den: int) -> tuple[list[int], list[int]]:
-    """Links that connect what links connect among the sets of a group.
+def _spanning_links(ids: np.ndarray, items: list[np.ndarray], buckets: list[np.ndarray], num: int, den: int) -> tuple[list[int], list[int]]:
+    """Links that connect what the links within the buckets connect.
 
-    Breadth-first: each set is compared once with all that no link has reached yet. mark: sets with
-    equal marks are known to be connected; a set is not compared within its mark.
+    In a bucket whose sets aren't connected yet, each set outside the largest connected part is compared
+    with all that aren't connected to it.
     """
     size = np.array([len(x) for x in items])
-    if len(items) == 2 or (mark == mark[0]).all():
-        if mark[0] == mark[1] or den * size.min() < num * size.max():
-            return [], []
-        common = len(np.intersect1d(*items, assume_unique=True))
-        return ([int(ids[0])], [int(ids[1])]) if common * (num + den) >= num * size.sum() else ([], [])
     values, flat = np.unique(np.concatenate(items), return_inverse=True)
-    offs, owner = np.concatenate([[0], np.cumsum(size)]), np.repeat(np.arange(len(items)), size)
-    own = [flat[x:y] for x, y in zip(offs, offs[1:], strict=False)]
+    own = np.split(flat, np.cumsum(size)[:-1])
     seen = np.zeros(len(values), bool)
-    left = np.ones(len(items), bool)
+    tried = np.zeros((len(ids), len(ids)), bool) if len(ids) <= 4096 else None
+    mark = np.arange(len(ids))
     a, b = [], []
-    for seed in range(len(items)):
-        if not left[seed]:
+    for bucket in buckets:
+        marks, n = np.unique(mark[bucket], return_counts=True)
+        if len(marks) < 2:
             continue
-        queue = [seed]
-        left[seed] = False
-        while queue:
-            s = queue.pop()
-            mates = np.flatnonzero(left & (mark == mark[s]))  # already connected: they search too
-            left[mates] = False
-            queue.extend(mates.tolist())
-            rest = int(size[left].sum())
-            if not rest:
+        most = marks[n.argmax()]
+        part, starts = np.concatenate([own[k] for k in bucket]), np.concatenate([[0], np.cumsum(size[bucket])[:-1]])
+        for s in bucket[mark[bucket] != most]:
+            open_ = (mark[bucket] != mark[s]) & (den * np.minimum(size[bucket], size[s]) >= num * np.maximum(size[bucket], size[s]))
+            if tried is not None:
+                open_ &= ~tried[s, bucket]
+                tried[s, bucket] = tried[bucket, s] = True
+            if not open_.any():
                 continue
-            if rest < len(flat) // 2:
-                keep = left[owner]
-                flat, owner = flat[keep], owner[keep]
+            if open_.sum() * 4 < len(bucket):
+                rest = bucket[open_]
+                counted, first = np.concatenate([own[k] for k in rest]), np.concatenate([[0], np.cumsum(size[rest])[:-1]])
+            else:
+                rest, counted, first = bucket, part, starts
             seen[own[s]] = True
-            common = np.bincount(owner[seen[flat]], minlength=len(items))
+            common = np.add.reduceat(seen[counted], first, dtype=np.int64)
             seen[own[s]] = False
-            for t in np.flatnonzero(left & (common * (num + den) >= num * (size + size[s]))):
-                left[t] = False
-                a.append(int(ids[s]))
-                b.append(int(ids[t]))
-                queue.append(t)
+            for t in rest[(common * (num + den) >= num * (size[rest] + size[s])) & (mark[rest] != mark[s])]:
+                if mark[t] != mark[s]:
+                    mark[mark == mark[t]] = mark[s]
+                    a.append(int(ids[s]))
+                    b.append(int(ids[t]))
     return a, b
 
 
-def jaccard_links(docs: DataFrame, *, width: int = 5, num: int = 80, den: int = 100, hot: int = 32, group_limit: int = 4096) -> tuple[DataFrame, DataFrame]:
+def jaccard_links(docs: DataFrame, *, width: int = 5, num: int = 80, den: int = 100, hot: int = 32, group_limit: int = 4096, load: int = 500_000) -> tuple[DataFrame, DataFrame]:
     """The classes of equal shingle sets, and links between classes that span all links.
 
     Returns (doc_id, n_shingles, set_id) by document, and (a, b) pairs of set_id. hot: a key with
@@ -284,49 +289,55 @@ def jaccard_links(docs: DataFrame, *, width: int = 5, num: int = 80, den: int =
     columns = ["members", "set_id", "n"]
     groups = stored(met.where(F.col("n") <= hot).select(columns).unionAll(kept.select(columns)).dropDuplicates(["members", "set_id"]))
 
-    # one candidate a set first: the least set it meets
+    # buckets that share sets are searched together, so that a set's shingles go there once; where they
+    # are too many, the buckets of such a family are dealt out by hash
     whole = Window.partitionBy("members")
-    stars = groups.withColumn("b", F.min("set_id").over(whole)).where("set_id <> b").groupBy(F.col("set_id").alias("a")).agg(F.min("b").alias("b"))
-    leaders = full.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
-    wanted = leaders.join(groups.select("set_id").distinct(), "set_id", "left_semi")
-    sets = stored(_set_tokens(docs, wanted, width).dropDuplicates(["set_id"]))
-    first = stored(_verified(stars, sets, num, den))
-
-    named = groups.join(components(first), groups.set_id == F.col("node"), "left").select("members", "set_id", "n", F.coalesce("component", "set_id").alias("mark"))
-    apart = named.withColumn("lo", F.min("mark").over(whole)).withColumn("hi", F.max("mark").over(whole)).where("lo <> hi")
     blocks = F.ceil(F.col("n") / group_limit).cast("int")
+    mates = groups.withColumn("least", F.min("set_id").over(whole))
+    family = components(mates.select(F.col("set_id").alias("a"), F.col("least").alias("b")))
+    leaders = full.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("size"))
+    named = mates.join(family, mates.set_id == F.col("node")).join(leaders, "set_id")
+    loads = family.join(leaders, F.col("node") == F.col("set_id")).groupBy("component").agg(F.ceil(F.sum("size") / load).alias("deals"))
+    named = named.join(loads, "component")
+    # a very large bucket becomes pairs of blocks; a set goes to every pair that holds its block
     own = F.pmod(F.xxhash64("set_id", F.lit(1)), blocks).cast("int")
-    # a large group becomes pairs of blocks; a set goes to every pair that holds its block
-    dealt = apart.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("members", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "set_id", "mark")
+    named = named.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    named = named.withColumn("bucket", F.xxhash64("members", F.least("own", "other"), F.greatest("own", "other")))
+    named = named.withColumn("deal", F.xxhash64("component", F.pmod(F.xxhash64("bucket"), F.col("deals"))))
+    asked = stored(named.groupBy("doc_id", "deal", "set_id").agg(F.collect_set("bucket").alias("buckets")))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        held: list[pa.RecordBatch] = []
         for batch in _then_none(batches):
             if batch is not None:
-                key = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3)])
-                ids, mark = (batch.column(k).to_numpy(zero_copy_only=False) for k in (3, 4))
-                offs, flat = batch.column(5).offsets.to_numpy(), batch.column(5).values.to_numpy().view(np.uint64)
-                cut = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1), len(ids)]
-                parts = [(tuple(key[:, x]), ids[x:y], mark[x:y], [flat[offs[k] : offs[k + 1]] for k in range(x, y)]) for x, y in zip(cut, cut[1:], strict=False)]
-                if held and parts and held[0][0] == parts[0][0]:
-                    held.append(parts.pop(0))
-                ready = []
-                if parts:
-                    ready, held = [held, *([x] for x in parts[:-1])] if held else [[x] for x in parts[:-1]], [parts[-1]]
-            else:
-                ready = [held] if held else []
+                deal = batch.column(0).to_numpy(zero_copy_only=False)
+                cut = [0, *(np.flatnonzero(deal[1:] != deal[:-1]) + 1), len(deal)]
+                parts = [batch.slice(x, y - x) for x, y in zip(cut, cut[1:], strict=False)]
+            ready: list[list[pa.RecordBatch]] = []
+            for part in parts if batch is not None else ():
+                if held and held[0].column(0)[0] != part.column(0)[0]:
+                    ready.append(held)
+                    held = []
+                held.append(part)
+            if batch is None and held:
+                ready.append(held)
             a, b = [], []
             for group in ready:
-                found = _spanning_links(np.concatenate([x[1] for x in group]), [y for x in group for y in x[3]], np.concatenate([x[2] for x in group]), num, den)
+                table = pa.Table.from_batches(group).combine_chunks()
+                lists = table.column("buckets").combine_chunks() if table.num_rows else None
+                lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+                row = np.repeat(np.arange(table.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+                flat = lists.flatten().to_numpy(zero_copy_only=False)
+                order = np.argsort(flat, kind="stable")
+                buckets = np.split(row[order], np.flatnonzero(np.diff(flat[order])) + 1)
+                found = _spanning_links(table.column("set_id").to_numpy(), [_unpack(x) for x in table.column("items").to_pylist()], sorted(buckets, key=len), num, den)
                 a += found[0]
                 b += found[1]
             if a:
                 yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    place = ["members", "i", "j"]
-    rest = dealt.join(sets, "set_id").select(*place, "set_id", "mark", "items").repartition(*place).sortWithinPartitions(*place).mapInArrow(search, "a long, b long")
-    return by_doc, stored(first.unionAll(rest.distinct()))
+    dealt = _with_items(docs, asked, width).repartition("deal").sortWithinPartitions("deal")
+    return by_doc, stored(dealt.mapInArrow(search, "a long, b long").distinct())
 
 
 def link_components(docs: DataFrame, **options) -> DataFrame:
