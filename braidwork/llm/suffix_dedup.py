@@ -72,36 +72,38 @@ def sorted_suffixes(texts: list[np.ndarray], cap: int) -> tuple[np.ndarray, np.n
     common prefix between their places in the old order. Ends sort first, by text.
     """
     count = len(texts)
-    size = np.array([len(x) for x in texts])
-    off = np.concatenate([[0], np.cumsum(size)])
-    flat = np.concatenate([*texts, np.zeros(1, np.uint8)])
-    who, beg, lcp = np.arange(count), size.copy(), np.zeros(count, np.uint8)
-    ends = (np.arange(count), size.copy(), np.zeros(count, np.uint8))
+    size = np.array([len(x) for x in texts], np.int64)
+    gap = np.zeros(1, np.uint8)  # one place after each text, where its empty suffix stands
+    flat = np.concatenate([y for x in texts for y in (x, gap)] or [gap])
+    off = np.concatenate([[0], np.cumsum(size + 1)[:-1]]) if count else size
+    ends = (np.arange(count, dtype=np.int32), (off + size).astype(np.int32), np.zeros(count, np.uint8))
+    who, at, lcp = ends  # at: where the suffix begins in flat
+    before = np.concatenate([gap, flat[:-1]])
+    closed = np.zeros(len(flat), bool)  # starts of texts have no symbol before them
+    closed[off] = True
     for _ in range(int(size.max()) if count else 0):
-        open_ = np.flatnonzero(beg > 0)
-        symbol = flat[off[who[open_]] + beg[open_] - 1]
+        open_ = np.flatnonzero(~closed[at])
+        symbol = before[at[open_]]
         order = np.argsort(symbol, kind="stable")
         old, symbol = open_[order], symbol[order]
-        same = np.flatnonzero(symbol[1:] == symbol[:-1]) + 1
+        same = np.flatnonzero(symbol[1:] == symbol[:-1])
         new = np.zeros(len(old), np.uint8)
         if len(same):
-            new[same] = np.minimum(_least(lcp, old[same - 1] + 1, old[same]) + 1, cap)
-        who, beg, lcp = np.concatenate([ends[0], who[old]]), np.concatenate([ends[1], beg[old] - 1]), np.concatenate([ends[2], new])
-    return who, beg, lcp
+            new[same + 1] = np.minimum(_least(lcp, old[same] + 1, old[same + 1]), cap - 1) + 1
+        who, at, lcp = np.concatenate([ends[0], who[old]]), np.concatenate([ends[1], at[old] - 1]), np.concatenate([ends[2], new])
+    return who, at - off[who], lcp
 
 
 def _least(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """The least of values[lo..hi], both included, for each pair."""
-    width = hi - lo + 1
-    level = np.frexp(width.astype(np.float64))[1] - 1  # floor of log2
-    out = np.empty(len(lo), np.uint8)
-    table, k = values, 0
+    level = np.frexp((hi - lo + 1).astype(np.float32))[1].astype(np.uint8) - np.uint8(1)  # floor of log2
+    out = values[lo]
     by = np.argsort(level, kind="stable")
     bounds = np.searchsorted(level[by], np.arange(int(level.max()) + 2))
-    for k in range(int(level.max()) + 1):
-        if k:
-            half = 1 << (k - 1)
-            table = np.minimum(table[:-half], table[half:])
+    table = values
+    for k in range(1, int(level.max()) + 1):
+        half = 1 << (k - 1)
+        table = np.minimum(table[:-half], table[half:])
         pick = by[bounds[k] : bounds[k + 1]]
         if len(pick):
             out[pick] = np.minimum(table[lo[pick]], table[hi[pick] - (1 << k) + 1])
@@ -125,21 +127,25 @@ def repeats(texts: list[np.ndarray], doc: np.ndarray, start: np.ndarray, length:
     return np.stack([who[place][late], beg[place][late]])
 
 
-def may_repeat(raw: np.ndarray, offs: np.ndarray, anchor: np.ndarray, rel: np.ndarray, length: int, gram: int, step: int = 8) -> np.ndarray:
-    """Pieces that can share a window with another of their anchor (rel: where it stands in the piece).
+def may_repeat(raw: np.ndarray, offs: np.ndarray, anchor: np.ndarray, rel: np.ndarray, length: int, gram: int, step: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """First and last window of each piece that another of its anchor can share; first > last: none.
 
-    A window with l bytes before the anchor holds the string that begins step * (l // step) bytes before
-    it and is length - step + 1 bytes long; at least one such string must stand in two pieces.
+    rel: where the anchor stands in the piece. A window with l bytes before the anchor holds the string
+    that begins step * (l // step) bytes before it and is length - step + 1 bytes long; at least two
+    pieces must hold such a string.
     """
-    run, hit, span = prefix_hash(raw, BYTE_HASH), np.zeros(len(rel), bool), length - step + 1
+    run, span, windows = prefix_hash(raw, BYTE_HASH), length - step + 1, np.diff(offs) - length
+    low, high = windows + 1, np.full(len(rel), -1)
     for back in range(0, length - gram + 1, step):
         first = rel - back
         here = np.flatnonzero((first >= 0) & (first + span <= np.diff(offs)))
         a = offs[here] + first[here]
         key = span_hash(run, a, a + span) ^ anchor[here].view(np.uint64)
         _, back_to, n = np.unique(key, return_inverse=True, return_counts=True)
-        hit[here[n[back_to] > 1]] = True
-    return hit
+        hit = here[n[back_to] > 1]
+        low[hit] = np.minimum(low[hit], np.maximum(first[hit] - step + 1, 0))
+        high[hit] = np.maximum(high[hit], np.minimum(first[hit], windows[hit]))
+    return low, high
 
 
 def _joined_spans(who: np.ndarray, beg: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -196,17 +202,23 @@ def repeated_spans(docs: DataFrame, *, length: int = 100, gram: int = 32, crowd:
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in _by_anchor(batches, load):
+            doc, anchor, start, rel = (held.column(k).to_numpy(zero_copy_only=False) for k in range(4))
             raw, offs = column_bytes(held.column(4))
-            some = np.flatnonzero(may_repeat(raw, offs, *(held.column(k).to_numpy(zero_copy_only=False) for k in (1, 3)), length, gram))
-            if len(some) < 2:
-                continue
-            held = held.take(pa.array(some))
-            doc, start = (held.column(k).to_numpy(zero_copy_only=False) for k in (0, 2))
-            raw, offs = column_bytes(held.column(4))
-            late = repeats([raw[a:b] for a, b in zip(offs, offs[1:], strict=False)], doc, start, length)
-            who, first, end = _joined_spans(late[0], late[1], length)
-            if len(who):
-                yield pa.record_batch([pa.array(doc[who]), pa.array(start[who] + first), pa.array(start[who] + end)], ["doc_id", "first", "end"])
+            low, high = may_repeat(raw, offs, anchor, rel, length, gram)
+            some = np.flatnonzero(high >= low)
+            doc, start, first, end = doc[some], start[some] + low[some], offs[some] + low[some], offs[some] + high[some] + length
+            # pieces that are equal so far as they can repeat: the earliest of them stays
+            _, same = np.unique(span_hash(prefix_hash(raw, BYTE_HASH), first, end), return_inverse=True)
+            order = np.lexsort((start, doc, same))
+            lead = np.ones(len(order), bool)
+            lead[1:] = same[order[1:]] != same[order[:-1]]
+            stays, copy = order[lead], order[~lead]
+            whom = stays[np.cumsum(lead) - 1][~lead]
+            copy = copy[(doc[copy] != doc[whom]) | (start[copy] != start[whom])]
+            late = repeats([raw[a:b] for a, b in zip(first[stays], end[stays], strict=True)], doc[stays], start[stays], length)
+            who, a, b = _joined_spans(late[0], late[1], length)
+            out = [doc[stays][who], doc[copy]], [start[stays][who] + a, start[copy]], [start[stays][who] + b, start[copy] + (end - first)[copy]]
+            yield pa.record_batch([pa.array(np.concatenate(x)) for x in out], ["doc_id", "first", "end"])
 
     quiet = parts.where("not crowd").select("doc_id", "anchor", "start", "rel", "piece").repartition("anchor").sortWithinPartitions("anchor")
     spans = quiet.mapInArrow(search, "doc_id long, first long, end long")
