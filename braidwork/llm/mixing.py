@@ -57,7 +57,7 @@ def permuted(index: np.ndarray, n: np.ndarray, seed: np.ndarray) -> np.ndarray:
     while len(todo):
         left, right, m = x[todo] >> half[todo], x[todo] & mask[todo], mask[todo]
         for r in range(4):
-            left, right = right, left ^ (mix(right + seed[todo] + _U(r + 1) * _U(0x9E3779B97F4A7C15)) & m)
+            left, right = right, left ^ (mix(right + seed[todo] + _U((r + 1) * 0x9E3779B97F4A7C15 % 2**64)) & m)
         x[todo] = (left << half[todo]) | right
         todo = todo[x[todo] >= n[todo].astype(np.uint64)]
     return x.astype(np.int64)
