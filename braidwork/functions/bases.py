@@ -20,20 +20,11 @@ def reverse_complement(seq: Column) -> Column:
     return F.translate(F.reverse(seq), "0123", "3210")
 
 
-def rank4(code: Column, factor: int = 167, shift: int = 13) -> Column:
-    """Rank of a 4-mer's code: a permutation of 0-255 given by a linear rule (factor odd)."""
+def rank4(code, factor: int = 167, shift: int = 13):
+    """Rank of a 4-mer's code (a column or an array): a permutation of 0-255 by a linear rule (factor odd)."""
     return (code * factor + shift) % 256
 
 
-def order8(digits: Column, i: Column) -> Column:
-    """Order of the 8-mer at i of an array of digits, the same for it and its reverse complement."""
-    d = [F.get(digits, i + k) for k in range(8)]
-    code = lambda x: x[0] * 64 + x[1] * 16 + x[2] * 4 + x[3]
-    back = [3 - x for x in reversed(d)]
-    one = lambda x: rank4(code(x[:4])) * 256 + rank4(code(x[4:]))
-    return F.least(one(d), one(back))
-
-
 def common_prefix(a: Column, b: Column, low: int, high: int) -> Column:
     """Length of the common prefix of two strings that share low symbols and are high long (null: low)."""
     shared = F.filter(F.sequence(F.lit(low + 1), F.lit(high)), lambda k: F.substring(a, F.lit(1), k) == F.substring(b, F.lit(1), k))

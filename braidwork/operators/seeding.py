@@ -2,37 +2,71 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.bases import BAND_BITS, CHAIN_BREAK, CHAIN_MIN, FREQ, KMER, SMER, TMER, WINDOW, common_prefix, order8, reverse_complement
+from ..functions.bases import BAND_BITS, CHAIN_BREAK, CHAIN_MIN, FREQ, KMER, SMER, TMER, WINDOW, common_prefix, rank4, reverse_complement
+
+
+def _ranks(seq: np.ndarray) -> np.ndarray:
+    """Order of the 8-mer at each place of a sequence of digits, the same for its reverse complement."""
+    d = seq.astype(np.int64)
+    n = len(d) - 3
+    code = d[:n] * 64 + d[1 : n + 1] * 16 + d[2 : n + 2] * 4 + d[3 : n + 3]
+    back = (3 - d[3 : n + 3]) * 64 + (3 - d[2 : n + 2]) * 16 + (3 - d[1 : n + 1]) * 4 + (3 - d[:n])
+    rank, other = rank4(code), rank4(back)
+    return np.minimum(rank[:-4] * 256 + rank[4:], other[4:] * 256 + other[:-4])
+
+
+def _selected(seq: np.ndarray) -> np.ndarray:
+    mz = _ranks(seq)
+    ends = np.minimum(mz[: 1 - WINDOW], mz[WINDOW - 1 :])
+    return np.flatnonzero(ends == np.lib.stride_tricks.sliding_window_view(mz, WINDOW).min(axis=1))
+
+
+def _by_contig(contigs: DataFrame, schema: str, make) -> DataFrame:
+    """make(digits, raw bytes) of each contig long enough, as columns after ctg, row by row of an Arrow batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ctg, seq in zip(batch.column(0), batch.column(1), strict=True):
+                raw = np.frombuffer(seq.as_py().encode(), np.uint8)
+                columns = make(raw - 48, raw)
+                if len(columns[0]):
+                    yield pa.record_batch([pa.repeat(ctg, len(columns[0])), *columns], names=[x.split()[0] for x in schema.split(", ")])
+
+    return contigs.where(F.length("seq") >= SMER + WINDOW - 1).select(F.col("ctg").cast("long"), "seq").mapInArrow(run, schema)
 
 
 def syncmers(contigs: DataFrame) -> DataFrame:
-    """(ctg, j, seq, len): closed syncmers, the runs of WINDOW 8-mers whose least is the first or last.
+    """(ctg, j): closed syncmers, the runs of WINDOW 8-mers whose least is the first or last; nothing is shuffled."""
+    return _by_contig(contigs, "ctg long, j int", lambda digits, raw: [pa.array(_selected(digits), pa.int32())])
 
-    A contig's 8-mer orders stay an array in its own row, so nothing is shuffled.
-    """
-    # lambda variables hold the digits and their orders: else each place would compute them anew;
-    # an array is read at any place at once, which a long string is not
-    digits = F.transform(F.split("seq", ""), lambda x: x.cast("int"))
-    orders = lambda d: F.transform(F.sequence(F.lit(0), F.size(d) - SMER), lambda i: order8(d, i))
-    ends = lambda m, j: F.least(F.get(m, j), F.get(m, j + WINDOW - 1)) == F.array_min(F.slice(m, j + 1, WINDOW))
-    places = lambda m: F.filter(F.sequence(F.lit(0), F.size(m) - WINDOW), lambda j: ends(m, j))
-    chosen = F.flatten(F.transform(F.array(digits), lambda d: F.flatten(F.transform(F.array(orders(d)), places))))
-    long = contigs.where(F.length("seq") >= SMER + WINDOW - 1)
-    return long.select("ctg", "seq", F.length("seq").alias("len"), F.explode(chosen).alias("j"))
+
+def _kmers(raw: np.ndarray, at: np.ndarray) -> pa.Array:
+    flat = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(raw, KMER)[at])
+    return pa.StringArray.from_buffers(len(at), pa.py_buffer((np.arange(len(at) + 1) * KMER).astype(np.int32)), pa.py_buffer(flat))
 
 
 def records(contigs: DataFrame) -> DataFrame:
     """(ctg, pos, strand, kmer): a forward and a reverse k-mer at each syncmer, where they fit."""
-    lead, raw = KMER - TMER, F.col("seq").cast("binary")
-    forward = F.when(F.col("j") <= F.col("len") - KMER, F.struct(F.col("j").alias("pos"), F.lit(0).alias("strand"), F.substring(raw, F.col("j") + 1, KMER).cast("string").alias("kmer")))
-    back = F.when(
-        (F.col("j") >= lead) & (F.col("j") + TMER <= F.col("len")),
-        F.struct((F.col("j") + TMER).alias("pos"), F.lit(1).alias("strand"), reverse_complement(F.substring(raw, F.col("j") - lead + 1, KMER).cast("string")).alias("kmer")),
-    )
-    return syncmers(contigs).select("ctg", F.inline(F.array_compact(F.array(forward, back))))
+
+    def make(digits: np.ndarray, raw: np.ndarray) -> list[pa.Array]:
+        if len(raw) < KMER:
+            return [pa.array([], pa.int32())]
+        j, n = _selected(digits), len(raw)
+        ahead, back = j[j <= n - KMER], j[(j >= KMER - TMER) & (j + TMER <= n)]
+        # place p of the reverse complement is place n - 1 - p of the sequence
+        turned = (3 - digits[::-1]).astype(np.uint8) + np.uint8(48)
+        kmers = pa.concat_arrays([_kmers(raw, ahead), _kmers(turned, n - TMER - back)])
+        pos, strand = np.concatenate([ahead, back + TMER]), np.repeat([0, 1], [len(ahead), len(back)])
+        return [pa.array(pos, pa.int32()), pa.array(strand, pa.int32()), kmers]
+
+    return _by_contig(contigs, "ctg long, pos int, strand int, kmer string", make)
 
 
 def kmer_table(recs: DataFrame) -> DataFrame:
