@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 KMER, TMER, SMER, WINDOW, FREQ = 40, 12, 8, 5, 10  # fixed values of the seeding scheme
 BAND_BITS = 6  # a band is 64 diagonals wide
 CHAIN_BREAK, CHAIN_MIN = 2000, 170
+ALIGN_MIN, ALIGN_RATE, FUZZ = 100, 0.3, 10  # least length, most differences a base, slack of boxes
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 

@@ -82,6 +82,22 @@ def kmer_table(recs: DataFrame) -> DataFrame:
     return lcps.withColumn("plen", F.greatest("lcp", F.coalesce(F.lead("lcp").over(order), F.lit(0))))
 
 
+def lcp_histogram(recs: DataFrame) -> DataFrame:
+    """(lcp, n): how many k-mers share how long a prefix with the one before in the order of all (the first: 0).
+
+    Inside a prefix of TMER bases from the k-mer table; between such prefixes from the prefixes alone, first
+    within their halves, then between the halves, which are 4^(TMER / 2) at most: no window spans all rows.
+    """
+    half = TMER // 2
+    inside = kmer_table(recs).where(F.col("lcp") >= TMER).select("lcp")
+    heads = recs.select(F.substring("kmer", 1, TMER).alias("pre")).distinct().withColumn("stem", F.substring("pre", 1, half))
+    within = heads.withColumn("last", F.lag("pre").over(Window.partitionBy("stem").orderBy("pre"))).where("last is not null")
+    stems = heads.select("stem").distinct().withColumn("last", F.lag("stem").over(Window.orderBy("stem")))
+    between = F.when(F.col("last").isNull(), 0).otherwise(common_prefix(F.col("stem"), F.col("last"), 0, half))
+    lcps = inside.unionAll(within.select(common_prefix(F.col("pre"), F.col("last"), half, TMER))).unionAll(stems.select(between))
+    return lcps.groupBy("lcp").agg(F.count("*").alias("n"))
+
+
 def seeds(recs: DataFrame) -> DataFrame:
     """(ctg_a, pos_a, ctg_b, pos_b, comp, plen): occurrences that share their longest common prefix.
 
@@ -106,7 +122,10 @@ def banded(found: DataFrame, longest: int) -> DataFrame:
 
 
 def chains(with_bands: DataFrame) -> DataFrame:
-    """Chains of seeds of a pair of contigs over two neighbouring bands, broken by antidiagonal gaps."""
+    """Chains of seeds of a pair of contigs over two neighbouring bands, broken by antidiagonal gaps.
+
+    anchor is the longest seed (its ad and dg negated: the first of ties).
+    """
     key = ["ctg_a", "ctg_b", "comp"]
     s = with_bands.select(*key, "band", "ad", "dg", (2 * F.col("plen")).alias("w"))
     present = Window.partitionBy(*key).orderBy("band").rangeBetween(-1, -1)
@@ -123,6 +142,7 @@ def chains(with_bands: DataFrame) -> DataFrame:
     g = x.groupBy(*key, "base", "cid").agg(
         F.min("ad").alias("alow"), F.max(F.col("ad") + F.col("w")).alias("ahgh"), F.min("dg").alias("dlow"), F.max("dg").alias("dhgh"),
         F.bit_or("role").alias("mix"), F.sum(cover).alias("cov"), F.bool_or((F.col("role") == 1) & F.col("below")).alias("below"),
+        F.max(F.struct("w", (-F.col("ad")).alias("ad"), (-F.col("dg")).alias("dg"))).alias("anchor"),
     )
     # a chain of one band's own seeds only is kept where no band lies below: else that one holds it too
     return g.where((F.col("cov") >= CHAIN_MIN) & ((F.col("mix") != 1) | ~F.col("below"))).drop("below")

@@ -111,7 +111,7 @@ def pair_task_features(spark: SparkSession, d: str) -> DataFrame:
 
 
 def seed_chains(spark: SparkSession, d: str) -> DataFrame:
-    return S.chains(_bands(spark, d))
+    return S.chains(_bands(spark, d)).drop("anchor")
 
 
 def near_duplicate_pairs(spark: SparkSession, d: str) -> DataFrame:

@@ -3,10 +3,11 @@
 import duckdb
 import pytest
 
-from braidwork.plans import catalogue
+from braidwork.plans import catalogue, ranges
 
+SQL, QUERIES = catalogue.oracle_sql() | ranges.oracle_sql(), catalogue.queries() | ranges.queries()
 DATA = "/root/testdata/sf0.001"
-TABLES = "documents events lineitem orders".split()
+TABLES = "documents events lineitem orders customer conversations benchmark".split()
 
 
 def rows(frame):
@@ -14,12 +15,12 @@ def rows(frame):
     return sorted(map(str, (tuple(plain(v) for v in r) for r in frame[sorted(frame.columns)].itertuples(index=False))))
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_matches_sql(spark, name):
     db = duckdb.connect()
     for t in TABLES:
         db.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
-    want = db.execute(catalogue.oracle_sql()[name]).fetchdf()
-    got = catalogue.queries()[name](spark, DATA).toPandas()
+    want = db.execute(SQL[name]).fetchdf()
+    got = QUERIES[name](spark, DATA).toPandas()
     assert sorted(got.columns) == sorted(want.columns)
     assert len(want) and rows(got.fillna(-1)) == rows(want.fillna(-1))
