@@ -12,6 +12,10 @@ one unit or differs by one element at most in a segment with two, so it meets un
   of sets and their mean size (see ``plan_bands``). ``slack`` more units than needed are allotted, so a
   set may leave out its emptiest and most frequent keys. Leaving out depends on the key alone, and a set
   whose keys of that kind exceed the slack keeps all of them; so no pair is lost.
+* Thinning: a set's parity bitmap has a bit for each shingle or more, which every shingle that hashes
+  there flips. Where two bitmaps differ in more bits than linking sets may in shingles, the sets don't
+  link; so the sets of a key fall into parts by bitmap, a small share of the shingles' bytes, and only
+  parts of two sets or more go on.
 * Equal sets are one class from the start. Keys whose sets overlap are searched together inside tasks,
   which compare only sets that aren't connected yet and return links that span all links; pairs are
   never written out. A family of more than ``load`` shingles is dealt out by key, and a key with more
@@ -102,17 +106,30 @@ def _sets(column: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray]]:
             yield row, shingles(words, row - i, joined, width)
 
 
+def bitmap(items: np.ndarray) -> np.ndarray:
+    """The parity bitmap of a set in 64-bit words; it has a power of two of bits, at least one an element."""
+    words = 1 << max(0, (len(items) - 1).bit_length() - 6)
+    odd = np.bincount((items & _U(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """The bitmap of the same set with fewer words."""
+    return np.bitwise_xor.reduce(bits.reshape(-1, words), axis=0)
+
+
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n_shingles, set_id) for every row of docs; set_id is null for an empty set."""
+    """(doc_id, n_shingles, set_id, bits) for every row of docs; set_id and bits are null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, ids = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
+            n, ids, bits = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64), [None] * len(batch)
             for row, items in _sets(batch.column(1), width):
-                n[row], ids[row] = len(items), set_hash(items) if len(items) else 0
-            yield pa.record_batch([batch.column(0), pa.array(n), pa.array(ids, mask=n == 0)], ["doc_id", "n_shingles", "set_id"])
+                if len(items):
+                    n[row], ids[row], bits[row] = len(items), set_hash(items), bitmap(items).tobytes()
+            yield pa.record_batch([batch.column(0), pa.array(n), pa.array(ids, mask=n == 0), pa.array(bits, pa.binary())], ["doc_id", "n_shingles", "set_id", "bits"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_id long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_id long, bits binary")
 
 
 def _keys_of(items: np.ndarray, scheme: int, band: Band) -> tuple[np.ndarray, np.ndarray, int]:
@@ -197,22 +214,99 @@ def _with_items(docs: DataFrame, asked: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            items = [_pack(x) for _, x in _sets(batch.column(0), width)]
+            made = [x for _, x in _sets(batch.column(0), width)]
+            items, own = [_pack(x) for x in made], np.array([set_hash(x) if len(x) else 0 for x in made], np.int64)
             lists = batch.column(1)
             n = lists.value_lengths().to_numpy(zero_copy_only=False)
             flat = lists.flatten()
             row = pa.array(np.repeat(np.arange(len(batch)), n))
-            yield pa.record_batch([flat.field(0), flat.field(1), flat.field(2), pa.array(items, pa.binary()).take(row)], ["deal", "set_id", "buckets", "items"])
+            out = pa.record_batch([flat.field(0), flat.field(1), flat.field(2), pa.array(items, pa.binary()).take(row)], ["deal", "set_id", "buckets", "items"])
+            # a doc_id may repeat with another text
+            yield out.filter(pa.array(own[row.to_numpy()] == flat.field(1).to_numpy(zero_copy_only=False)))
 
     by_doc = asked.groupBy("doc_id").agg(F.collect_list(F.struct("deal", "set_id", "buckets")).alias("deals"))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(by_doc, "doc_id").select("text", "deals").mapInArrow(run, schema)
 
 
-def _then_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+def _deals(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, list[np.ndarray]]]:
+    """The rows of each deal (column 0, sorted) as one table, and its buckets as arrays of rows."""
+    held: list[pa.RecordBatch] = []
     for batch in batches:
-        if len(batch):
-            yield batch
-    yield None
+        deal = batch.column(0).to_numpy(zero_copy_only=False)
+        cut = [0, *(np.flatnonzero(deal[1:] != deal[:-1]) + 1), len(deal)]
+        for x, y in zip(cut, cut[1:], strict=False):
+            if held and y > x and held[0].column(0)[0].as_py() != deal[x]:
+                yield _with_buckets(held)
+                held = []
+            if y > x:
+                held.append(batch.slice(x, y - x))
+    if held:
+        yield _with_buckets(held)
+
+
+def _with_buckets(held: list[pa.RecordBatch]) -> tuple[pa.Table, list[np.ndarray]]:
+    table = pa.Table.from_batches(held).combine_chunks()
+    lists = table.column("buckets").combine_chunks()
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    row = np.repeat(np.arange(table.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+    flat = lists.flatten().to_numpy(zero_copy_only=False)
+    order = np.argsort(flat, kind="stable")
+    return table, np.split(row[order], np.flatnonzero(np.diff(flat[order])) + 1)
+
+
+def _near_parts(size: np.ndarray, bits: list[np.ndarray], bucket: np.ndarray, num: int, den: int) -> Iterator[np.ndarray]:
+    """The parts, of two sets or more, that a bucket falls into when sets too far apart by bitmap aren't joined."""
+    words = min(len(bits[k]) for k in bucket)
+    flat, n = np.stack([folded(bits[k], words) for k in bucket]), size[bucket]
+    rest = np.arange(len(bucket))
+    while len(rest) > 1:
+        part, todo, rest = [rest[0]], [rest[0]], rest[1:]
+        while todo and len(rest):
+            s = todo.pop()
+            apart = np.bitwise_count(flat[rest] ^ flat[s]).sum(axis=1, dtype=np.int64)
+            near = (apart * (den + num) <= (n[rest] + n[s]) * (den - num)) & (den * np.minimum(n[rest], n[s]) >= num * np.maximum(n[rest], n[s]))
+            part.extend(rest[near])
+            todo.extend(rest[near])
+            rest = rest[~near]
+        if len(part) > 1:
+            yield bucket[part]
+
+
+def _blocked(groups: DataFrame, group_limit: int) -> DataFrame:
+    """groups (members, set_id, n) with a bucket: the group, or of a very large one each pair of blocks that holds the set's."""
+    blocks = F.ceil(F.col("n") / group_limit).cast("int")
+    own = groups.withColumn("own", F.pmod(F.xxhash64("set_id", F.lit(1)), blocks).cast("int"))
+    paired = own.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return paired.withColumn("bucket", F.xxhash64("members", F.least("own", "other"), F.greatest("own", "other"))).drop("own", "other")
+
+
+def thinned(groups: DataFrame, sets: DataFrame, num: int, den: int, group_limit: int) -> DataFrame:
+    """groups (members, set_id, n) cut to the parts that bitmaps leave together; sets: (set_id, n_shingles, bits).
+
+    Groups of the same least member are thinned in one task, so that most bitmaps go to few tasks; the
+    larger a group, the more tasks its least member is dealt to.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, buckets in _deals(batches):
+            ids, size = (table.column(k).to_numpy() for k in ("set_id", "n_shingles"))
+            bits, spread = [np.frombuffer(x, np.uint64) for x in table.column("bits").to_pylist()], mix(ids.view(np.uint64))
+            parts, seen = [], set()
+            for bucket in buckets:
+                for part in _near_parts(size, bits, bucket, num, den):
+                    name = int(np.bitwise_xor.reduce(spread[part]).view(np.int64))
+                    if name not in seen:
+                        seen.add(name)
+                        parts.append((name, part))
+            if parts:
+                n = np.array([len(p) for _, p in parts])
+                yield pa.record_batch([pa.array(np.repeat(np.array([k for k, _ in parts], np.int64), n)), pa.array(ids[np.concatenate([p for _, p in parts])]), pa.array(np.repeat(n, n))], ["members", "set_id", "n"])
+
+    least = groups.withColumn("least", F.min("set_id").over(Window.partitionBy("members")))
+    deal = F.xxhash64("least", F.pmod(F.xxhash64("bucket"), F.ceil(F.col("n") / 1024)))
+    asked = _blocked(least, group_limit).groupBy("set_id", deal.alias("deal")).agg(F.collect_set("bucket").alias("buckets"))
+    dealt = asked.join(sets, "set_id").select("deal", "set_id", "buckets", "n_shingles", "bits").repartition("deal").sortWithinPartitions("deal")
+    return dealt.mapInArrow(run, "members long, set_id long, n long").dropDuplicates(["members", "set_id"])
 
 
 def _spanning_links(ids: np.ndarray, items: list[np.ndarray], buckets: list[np.ndarray], num: int, den: int) -> tuple[list[int], list[int]]:
@@ -264,7 +358,8 @@ def jaccard_links(docs: DataFrame, *, width: int = 5, num: int = 80, den: int =
     more sets is left out where the slack allows it. Any doc_id may repeat; rows count singly.
     """
     small_batches(docs.sparkSession)
-    by_doc = stored(shingle_sets(docs, width))
+    made = stored(shingle_sets(docs, width))
+    by_doc = made.drop("bits")
     full = by_doc.where("set_id is not null")
     top = full.agg(F.max("n_shingles")).first()[0] or 0
     edges, low = [], 1
@@ -287,52 +382,24 @@ def jaccard_links(docs: DataFrame, *, width: int = 5, num: int = 80, den: int =
     over = heavy.groupBy("set_id", "scheme").agg(F.sum("unit").alias("u"), F.min("free").alias("f")).where("u > f").select("set_id", "scheme")
     kept = heavy.join(over, ["set_id", "scheme"], "left_semi").withColumn("n", F.count("*").over(group)).where("n > 1").withColumn("members", F.bit_xor(F.xxhash64("set_id")).over(group))
     columns = ["members", "set_id", "n"]
-    groups = stored(met.where(F.col("n") <= hot).select(columns).unionAll(kept.select(columns)).dropDuplicates(["members", "set_id"]))
+    groups = met.where(F.col("n") <= hot).select(columns).unionAll(kept.select(columns)).dropDuplicates(["members", "set_id"])
+    sets = made.where("set_id is not null and doc_id is not null").select("set_id", "n_shingles", "bits").dropDuplicates(["set_id"])
+    groups = stored(thinned(groups, sets, num, den, group_limit))
 
     # buckets that share sets are searched together, so that a set's shingles go there once; where they
     # are too many, the buckets of such a family are dealt out by hash
-    whole = Window.partitionBy("members")
-    blocks = F.ceil(F.col("n") / group_limit).cast("int")
-    mates = groups.withColumn("least", F.min("set_id").over(whole))
+    mates = groups.withColumn("least", F.min("set_id").over(Window.partitionBy("members")))
     family = components(mates.select(F.col("set_id").alias("a"), F.col("least").alias("b")))
     leaders = full.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("size"))
     named = mates.join(family, mates.set_id == F.col("node")).join(leaders, "set_id")
     loads = family.join(leaders, F.col("node") == F.col("set_id")).groupBy("component").agg(F.ceil(F.sum("size") / load).alias("deals"))
-    named = named.join(loads, "component")
-    # a very large bucket becomes pairs of blocks; a set goes to every pair that holds its block
-    own = F.pmod(F.xxhash64("set_id", F.lit(1)), blocks).cast("int")
-    named = named.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    named = named.withColumn("bucket", F.xxhash64("members", F.least("own", "other"), F.greatest("own", "other")))
+    named = _blocked(named.join(loads, "component"), group_limit)
     named = named.withColumn("deal", F.xxhash64("component", F.pmod(F.xxhash64("bucket"), F.col("deals"))))
     asked = stored(named.groupBy("doc_id", "deal", "set_id").agg(F.collect_set("bucket").alias("buckets")))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in _then_none(batches):
-            if batch is not None:
-                deal = batch.column(0).to_numpy(zero_copy_only=False)
-                cut = [0, *(np.flatnonzero(deal[1:] != deal[:-1]) + 1), len(deal)]
-                parts = [batch.slice(x, y - x) for x, y in zip(cut, cut[1:], strict=False)]
-            ready: list[list[pa.RecordBatch]] = []
-            for part in parts if batch is not None else ():
-                if held and held[0].column(0)[0] != part.column(0)[0]:
-                    ready.append(held)
-                    held = []
-                held.append(part)
-            if batch is None and held:
-                ready.append(held)
-            a, b = [], []
-            for group in ready:
-                table = pa.Table.from_batches(group).combine_chunks()
-                lists = table.column("buckets").combine_chunks() if table.num_rows else None
-                lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-                row = np.repeat(np.arange(table.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
-                flat = lists.flatten().to_numpy(zero_copy_only=False)
-                order = np.argsort(flat, kind="stable")
-                buckets = np.split(row[order], np.flatnonzero(np.diff(flat[order])) + 1)
-                found = _spanning_links(table.column("set_id").to_numpy(), [_unpack(x) for x in table.column("items").to_pylist()], sorted(buckets, key=len), num, den)
-                a += found[0]
-                b += found[1]
+        for table, buckets in _deals(batches):
+            a, b = _spanning_links(table.column("set_id").to_numpy(), [_unpack(x) for x in table.column("items").to_pylist()], sorted(buckets, key=len), num, den)
             if a:
                 yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 

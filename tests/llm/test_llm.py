@@ -73,6 +73,19 @@ def test_jaccard_components_match_all_pairs(docs, empty, width, num):
     assert ngram_jaccard.link_components(empty).count() == 0
 
 
+def test_bitmaps_never_differ_more_than_sets():
+    rng = np.random.default_rng(1)
+    for n in (1, 40, 64, 65, 300, 5000):
+        a = rng.integers(0, 2**64 - 1, n, np.uint64)
+        for gone in {0, 1, n // 10, n}:
+            b = np.concatenate([a[gone:], rng.integers(0, 2**64 - 1, gone // 2 + 1, np.uint64)])
+            x, y = ngram_jaccard.bitmap(a), ngram_jaccard.bitmap(b)
+            words = min(len(x), len(y))
+            apart = int(np.bitwise_count(ngram_jaccard.folded(x, words) ^ ngram_jaccard.folded(y, words)).sum())
+            assert apart <= len(np.setxor1d(a, b)) and 64 * len(x) >= n
+            assert gone < n or n < 300 or apart > n / 4
+
+
 def test_suffix_dedup_matches_every_window(docs, empty):
     rows, first, want = sorted((k, (t or "").encode()) for k, t, *_ in corpus()), {}, {}
     for k, t in rows:
