@@ -73,6 +73,13 @@ def test_jaccard_components_match_all_pairs(docs, empty, width, num):
     assert ngram_jaccard.link_components(empty).count() == 0
 
 
+def test_jaccard_links_rows_that_repeat_a_doc_id(spark):
+    text = " ".join(f"w{k}" for k in range(120))
+    rows = [(1, text + " x"), (1, " ".join(f"v{k}" for k in range(120))), (2, text + " y"), (3, " ".join(f"u{k}" for k in range(120))), (None, text + " z"), (None, None)]
+    got = ngram_jaccard.link_components(spark.createDataFrame(rows, "doc_id long, text string"), width=4, num=85).collect()
+    assert sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in got) == [(0, 0, 0), (0, 118, 0), (1, 117, 1), (1, 118, 1), (2, 118, 1), (3, 117, 3)]
+
+
 def test_bitmaps_never_differ_more_than_sets():
     rng = np.random.default_rng(1)
     for n in (1, 40, 64, 65, 300, 5000):
