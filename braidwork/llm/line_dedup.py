@@ -1,10 +1,8 @@
 """Line dedup: later documents lose the blocks that a patience alignment shares with an earlier one.
 
 Documents with equal lines throughout are one class, led by the smallest doc_id; the others lose all
-their lines. Between classes, a document's partners are the earliest documents that hold one of its
-rare lines: lines of at most ``rare`` classes. A document of which at least half the lines are shared
-but none is rare (a member of a very large group of near copies) takes the earliest holder of its
-least frequent line. So a document has one partner a line at most, and no group is paired out.
+their lines. Between classes, a document's partners are the earliest documents that hold its shared
+lines, however many others hold them: one partner a line at most, so no group is paired out.
 The pair is aligned by patience diff: lines that occur once on either side anchor the longest chain of
 matches in order, and matches grow from the anchors line by line. Aligned lines are deleted.
 """
@@ -17,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._store import small_batches, stored
@@ -83,7 +81,7 @@ def patience(a: list[int], b: list[int]) -> list[int]:
     return sorted(out)
 
 
-def repeated_lines(docs: DataFrame, *, rare: int = 100) -> DataFrame:
+def repeated_lines(docs: DataFrame) -> DataFrame:
     """(row, doc_id, n_lines, drop array<int>): the lines of each row of docs (doc_id, text) to delete.
 
     Lines are split at \\n and compared byte for byte. Null and empty texts have no lines. Of rows that
@@ -107,12 +105,10 @@ def repeated_lines(docs: DataFrame, *, rare: int = 100) -> DataFrame:
     led = stored(table.where(F.size("lines") > 0).join(lead, "whole").withColumn("first", F.col("lead.row") == F.col("row")))
     leaders = led.where("first").select("row", "doc_id", "lines")
 
-    occur = leaders.select("row", "doc_id", F.size("lines").alias("n"), F.explode(F.array_distinct("lines")).alias("line")).where("line <> 0")
-    held = occur.groupBy("line").agg(F.count("*").alias("df"), F.min(F.struct("doc_id", "row")).alias("lead")).where("df > 1")
-    shared = occur.join(held, "line").select("row", "n", "df", F.col("lead.row").alias("partner"))
-    least = Window.partitionBy("row")
-    ranked = shared.withColumn("k", F.row_number().over(least.orderBy("df", "partner"))).withColumn("common", F.count("*").over(least))
-    pairs = ranked.where((F.col("partner") != F.col("row")) & ((F.col("df") <= rare) | ((F.col("k") == 1) & (F.col("common") * 2 >= F.col("n"))))).select("row", "partner").distinct()
+    occur = leaders.select("row", "doc_id", F.explode(F.array_distinct("lines")).alias("line")).where("line <> 0")
+    # stored, so that adaptive execution can split the join at a very common line
+    held = stored(occur.groupBy("line").agg(F.count("*").alias("df"), F.min(order).alias("lead")).where("df > 1").select("line", F.col("lead.row").alias("partner")))
+    pairs = occur.select("row", "line").join(held, "line").where("partner <> row").select("row", "partner").distinct()
     both = pairs.join(leaders.select("row", F.col("lines").alias("later")), "row").join(leaders.select(F.col("row").alias("partner"), F.col("lines").alias("earlier")), "partner")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,9 +123,9 @@ def repeated_lines(docs: DataFrame, *, rare: int = 100) -> DataFrame:
     return table.select("row", "doc_id", F.size("lines").alias("n_lines")).join(gone.unionAll(copies), "row", "left").withColumn("drop", F.coalesce("drop", none))
 
 
-def drop_repeated_lines(docs: DataFrame, **options) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame) -> DataFrame:
     """docs with the repeated lines cut out of text, and n_lines, n_removed (null text stays null)."""
-    decided = repeated_lines(docs, **options)
+    decided = repeated_lines(docs)
     # the decision of a row goes back by doc_id; rows that repeat a doc_id are told apart by their place
     mine = docs.withColumn("braid_lines", F.when(F.length("text") > 0, F.split("text", "\n", -1)).otherwise(F.array().cast("array<string>")))
     keyed = decided.where(F.size("drop") > 0).groupBy("doc_id", "n_lines").agg(F.sort_array(F.collect_list("drop")).alias("drops"))

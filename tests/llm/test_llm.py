@@ -167,6 +167,12 @@ def test_line_dedup_cuts_aligned_blocks(spark, empty):
     assert line_dedup.patience([1, 2, 3, 4], [9, 2, 3, 8, 4]) == [1, 2, 4]
 
 
+def test_line_dedup_finds_lines_of_very_many_documents(spark):
+    rows = [(k, f"one {k}\ntwo {k}\nheld by all\nthree {k}\nfour {k}") for k in range(150)]
+    got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: (t if k == 0 else t.replace("held by all\n", ""), int(k > 0)) for k, t in rows}
+
+
 def test_neighbours_recall_and_bad_vectors(spark):
     x = np.random.default_rng(0).normal(size=(400, 32)) + np.repeat(np.random.default_rng(1).normal(size=(8, 32)) * 2, 50, axis=0)
     rows = [(k, v.tolist()) for k, v in enumerate(x)] + [(900, None), (1000, [0.0] * 32), (1100, [float("nan")] * 32), (1200, [None] * 32), (1300, [1.0])]
