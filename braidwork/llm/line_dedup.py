@@ -82,24 +82,24 @@ def patience(a: list[int], b: list[int]) -> list[int]:
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, n_lines, drop array<int>): the lines of each row of docs (doc_id, text) to delete.
+    """(row, doc_id, n_lines, drop array<int>): the lines of each row of docs (row, doc_id, text) to delete.
 
-    Lines are split at \\n and compared byte for byte. Null and empty texts have no lines. Of rows that
-    repeat a doc_id, the later in (text) order counts as the later document. Blank lines go only with
-    the aligned lines around them. A null doc_id comes first. An empty table gives an empty result.
+    row tells the rows apart, and must be the same each time docs is read. Lines are split at \\n and
+    compared byte for byte. Null and empty texts have no lines. Of rows that repeat a doc_id, the one of
+    larger row counts as the later document. Blank lines go only with the aligned lines around them. A
+    null doc_id comes first. An empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lines = [x.view(np.int64) for _, x in line_hashes(batch.column(1))]
+            lines = [x.view(np.int64) for _, x in line_hashes(batch.column(2))]
             whole = [int(mix(np.array([x.view(np.uint64).dot(mix(np.arange(len(x), dtype=np.uint64)) | np.uint64(1)) + np.uint64(len(x))], np.uint64)).view(np.int64)[0]) if len(x) else 0 for x in lines]
             offs = np.cumsum([0, *map(len, lines)])
             flat = np.concatenate(lines) if lines else np.zeros(0, np.int64)
-            yield pa.record_batch([batch.column(0), pa.array(whole, pa.int64()), pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(flat))], ["doc_id", "whole", "lines"])
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(whole, pa.int64()), pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(flat))], ["row", "doc_id", "whole", "lines"])
 
-    table = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(read, "doc_id long, whole long, lines array<long>")
-    table = stored(table.withColumn("row", F.monotonically_increasing_id()))
+    table = stored(docs.select("row", F.col("doc_id").cast("long"), "text").mapInArrow(read, "row long, doc_id long, whole long, lines array<long>"))
     order = F.struct("doc_id", "row")
     lead = table.where(F.size("lines") > 0).groupBy("whole").agg(F.min(order).alias("lead"))
     led = stored(table.where(F.size("lines") > 0).join(lead, "whole").withColumn("first", F.col("lead.row") == F.col("row")))
@@ -125,14 +125,13 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
 
 def drop_repeated_lines(docs: DataFrame) -> DataFrame:
     """docs with the repeated lines cut out of text, and n_lines, n_removed (null text stays null)."""
-    decided = repeated_lines(docs)
-    # the decision of a row goes back by doc_id; rows that repeat a doc_id are told apart by their place
-    mine = docs.withColumn("braid_lines", F.when(F.length("text") > 0, F.split("text", "\n", -1)).otherwise(F.array().cast("array<string>")))
-    keyed = decided.where(F.size("drop") > 0).groupBy("doc_id", "n_lines").agg(F.sort_array(F.collect_list("drop")).alias("drops"))
-    single = keyed.select("doc_id", F.col("n_lines").alias("braid_n"), F.element_at("drops", -1).alias("braid_drop"))
-    joined = mine.join(single.withColumnRenamed("doc_id", "braid_id"), F.col("doc_id").eqNullSafe(F.col("braid_id")) & (F.size("braid_lines") == F.col("braid_n")), "left")
-    keep = F.filter("braid_lines", lambda _, k: ~F.array_contains(F.coalesce("braid_drop", F.array().cast("array<int>")), k))
+    # stored with a number for each row, by which the decision goes back: a doc_id may repeat
+    mine = stored(docs.withColumn("braid_row", F.monotonically_increasing_id()))
+    decided = repeated_lines(mine.select(F.col("braid_row").alias("row"), "doc_id", "text")).where(F.size("drop") > 0)
+    joined = mine.join(decided.select(F.col("row").alias("braid_row"), F.col("drop").alias("braid_drop")), "braid_row", "left")
+    lines = F.when(F.length("text") > 0, F.split("text", "\n", -1)).otherwise(F.array().cast("array<string>"))
+    keep = F.filter(lines, lambda _, k: ~F.array_contains("braid_drop", k))
     text = F.when(F.col("text").isNull() | F.col("braid_drop").isNull(), F.col("text")).otherwise(F.array_join(keep, "\n"))
     removed = F.coalesce(F.size("braid_drop"), F.lit(0))
     columns = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
-    return joined.select(*columns, text.alias("text"), F.size("braid_lines").alias("n_lines"), removed.alias("n_removed"))
+    return joined.select(*columns, text.alias("text"), F.size(lines).alias("n_lines"), removed.alias("n_removed"))

@@ -173,6 +173,17 @@ def test_line_dedup_finds_lines_of_very_many_documents(spark):
     assert got == {k: (t if k == 0 else t.replace("held by all\n", ""), int(k > 0)) for k, t in rows}
 
 
+def test_line_dedup_tells_rows_of_one_doc_id_apart(spark):
+    import corpus_pipeline
+
+    rows = [(1, "a b\nc d"), (1, "a b\nc d"), (1, "x y\nz z"), (2, "q r\nx y"), (None, "m n\no p"), (None, "m n\no p")]
+    data = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+    kept = line_dedup.drop_repeated_lines(data).select("doc_id", "text", "n_lines", "n_removed").collect()
+    assert sorted(map(str, map(tuple, kept))) == sorted(map(str, [(1, "a b\nc d", 2, 0), (1, "", 2, 2), (1, "x y\nz z", 2, 0), (2, "q r", 2, 1), (None, "m n\no p", 2, 0), (None, "", 2, 2)]))
+    left = corpus_pipeline.dedup_lines(spark, data, "").select("doc_id", "text").collect()
+    assert sorted(map(str, map(tuple, left))) == sorted(map(str, [(1, "a b\nc d"), (1, "x y\nz z"), (2, "q r"), (None, "m n\no p")]))
+
+
 def test_neighbours_recall_and_bad_vectors(spark):
     x = np.random.default_rng(0).normal(size=(400, 32)) + np.repeat(np.random.default_rng(1).normal(size=(8, 32)) * 2, 50, axis=0)
     rows = [(k, v.tolist()) for k, v in enumerate(x)] + [(900, None), (1000, [0.0] * 32), (1100, [float("nan")] * 32), (1200, [None] * 32), (1300, [1.0])]
