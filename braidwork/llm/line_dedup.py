@@ -4,7 +4,9 @@ Documents with equal lines throughout are one class, led by the smallest doc_id;
 their lines. Between classes, a document's partners are the earliest documents that hold its shared
 lines, however many others hold them: one partner a line at most, so no group is paired out.
 The pair is aligned by patience diff: lines that occur once on either side anchor the longest chain of
-matches in order, and matches grow from the anchors line by line. Aligned lines are deleted.
+matches in order, and matches grow from the anchors line by line. The gaps are aligned in the same way,
+until they share no line; in a gap whose shared lines all repeat, equal lines are matched by how often
+they stood before in it. Aligned lines are deleted.
 """
 
 from __future__ import annotations
@@ -44,11 +46,21 @@ def line_hashes(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
             yield row, out
 
 
-def patience(a: list[int], b: list[int]) -> list[int]:
-    """Positions of b aligned with equal lines of a; zeros (blank lines) don't align by themselves."""
+def _chain(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """The longest chain of lines that occur once in either, or of the n-th occurrences of equal lines if there are none."""
     once_a, once_b = Counter(a), Counter(b)
     where = {x: k for k, x in enumerate(a) if once_a[x] == 1}
     pairs = [(where[x], k) for k, x in enumerate(b) if x and once_b[x] == 1 and x in where]
+    if not pairs:
+        places: dict[int, list[int]] = {}
+        for k, x in enumerate(a):
+            if x and x in once_b:
+                places.setdefault(x, []).append(k)
+        seen: Counter = Counter()
+        for k, x in enumerate(b):
+            if seen[x] < len(places.get(x, ())):
+                pairs.append((places[x][seen[x]], k))
+                seen[x] += 1
     tails: list[int] = []
     best: list[int] = []
     back = [-1] * len(pairs)
@@ -65,19 +77,33 @@ def patience(a: list[int], b: list[int]) -> list[int]:
         chain.append(pairs[k])
         k = back[k]
     chain.reverse()
-    out, low = set(), (-1, -1)
-    for n, (x, y) in enumerate(chain):
-        high = chain[n + 1] if n + 1 < len(chain) else (len(a), len(b))
-        i, j = x - 1, y - 1
-        while i > low[0] and j > low[1] and a[i] == b[j]:
-            out.add(j)
-            i, j = i - 1, j - 1
-        out.add(y)
-        i, j = x + 1, y + 1
-        while i < high[0] and j < high[1] and a[i] == b[j]:
-            out.add(j)
-            i, j = i + 1, j + 1
-        low = (i - 1, j - 1)
+    return chain
+
+
+def patience(a: list[int], b: list[int]) -> list[int]:
+    """Positions of b aligned with equal lines of a; zeros (blank lines) don't align by themselves."""
+    out, todo = set(), [(0, len(a), 0, len(b))]
+    while todo:
+        a0, a1, b0, b1 = todo.pop()
+        if a0 >= a1 or b0 >= b1:
+            continue
+        chain = [(a0 + x, b0 + y) for x, y in _chain(a[a0:a1], b[b0:b1])]
+        low = (a0 - 1, b0 - 1)
+        for n, (x, y) in enumerate(chain):
+            high = chain[n + 1] if n + 1 < len(chain) else (a1, b1)
+            i, j = x - 1, y - 1
+            while i > low[0] and j > low[1] and a[i] == b[j]:
+                out.add(j)
+                i, j = i - 1, j - 1
+            todo.append((low[0] + 1, i + 1, low[1] + 1, j + 1))
+            out.add(y)
+            i, j = x + 1, y + 1
+            while i < high[0] and j < high[1] and a[i] == b[j]:
+                out.add(j)
+                i, j = i + 1, j + 1
+            low = (i - 1, j - 1)
+        if chain:
+            todo.append((low[0] + 1, a1, low[1] + 1, b1))
     return sorted(out)
 
 

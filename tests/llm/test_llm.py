@@ -184,6 +184,19 @@ def test_line_dedup_tells_rows_of_one_doc_id_apart(spark):
     assert sorted(map(str, map(tuple, left))) == sorted(map(str, [(1, "a b\nc d"), (1, "x y\nz z"), (2, "q r"), (None, "m n\no p")]))
 
 
+def test_patience_aligns_repeated_lines_and_gaps():
+    assert line_dedup.patience([1, 5, 2, 5, 3], [9, 5, 8]) == [1]
+    assert line_dedup.patience([1, 7, 7, 2, 6, 7], [1, 8, 7, 9, 2, 7]) == [0, 2, 4, 5]
+    assert line_dedup.patience([4, 0, 4, 0], [0, 4, 5, 0]) == [1]
+    rng = random.Random(9)
+    for _ in range(300):
+        a, b = ([rng.randrange(6) for _ in range(rng.randrange(12))] for _ in range(2))
+        got = line_dedup.patience(a, b)
+        rest = iter(a)
+        assert all(any(x == b[j] for x in rest) for j in got)  # in order
+        assert bool(got) == bool(set(a) & set(b) - {0})
+
+
 def test_neighbours_recall_and_bad_vectors(spark):
     x = np.random.default_rng(0).normal(size=(400, 32)) + np.repeat(np.random.default_rng(1).normal(size=(8, 32)) * 2, 50, axis=0)
     rows = [(k, v.tolist()) for k, v in enumerate(x)] + [(900, None), (1000, [0.0] * 32), (1100, [float("nan")] * 32), (1200, [None] * 32), (1300, [1.0])]
