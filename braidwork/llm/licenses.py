@@ -2,7 +2,9 @@
 
 Candidate blocks are runs of lines that speak of licensing. Each is compressed alone and with each
 template as zstandard raw dictionary; the share of bytes that a template saves ranks the templates.
-The best few are then compared word by word, and the first whose wording differs little is confirmed.
+The best few are then compared word by word: the block is aligned with the best span of the whole
+template and grows over neighbouring lines as long as they go on with its wording, so wrapped notices
+stay together and parts count. The first template whose wording differs little is confirmed.
 """
 
 from __future__ import annotations
@@ -10,7 +12,9 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from importlib.resources import files
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -31,6 +35,8 @@ TEMPLATES = {
     "MIT": "Released under the MIT License.\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software.",
     "MPL-2.0": "Licensed under the Mozilla Public License, version 2.0.\nThis Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
 }
+# The whole texts, but those of Creative Commons, which have their notices alone.
+TEXTS = {x.name.removesuffix(".txt"): x.read_text() for x in files(__package__).joinpath("license_texts").iterdir() if x.name.endswith(".txt")}
 SPEAKS = r"(?i)licen[sc]e|copyright|spdx-|creative commons|public domain|permission is hereby|redistribut|warrant(y|ies)"
 _SPEAKS = re.compile(SPEAKS)
 _SENTENCE = re.compile(r"(?<=[.!?])\s+(?=[^\W\d_a-z])")
@@ -38,41 +44,118 @@ _WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
 FIELDS = "block int, first_line int, last_line int, license string, saved double, words_added int, words_missing int, confirmed boolean, text string"
 
 
-def blocks(text: str) -> Iterator[tuple[int, int, str]]:
-    """Runs of sentences that speak of licensing: first line, last line, text."""
-    run: list[tuple[int, str]] = []
-    for k, line in enumerate([*text.split("\n"), ""]):
-        for part in _SENTENCE.split(line):
-            if _SPEAKS.search(part):
-                run.append((k, part))
-            elif run:
-                yield run[0][0], run[-1][0], "\n".join(x for _, x in run)
-                run = []
+def sentences(text: str) -> list[tuple[int, str]]:
+    """Line and text of each sentence, or part of one in a line."""
+    return [(k, part) for k, line in enumerate(text.split("\n")) for part in _SENTENCE.split(line)]
+
+
+def blocks(parts: list[tuple[int, str]]) -> Iterator[tuple[int, int]]:
+    """Runs of sentences that speak of licensing: the first, and the one after the last."""
+    first = None
+    for k, (_, part) in enumerate([*parts, (0, "")]):
+        if _SPEAKS.search(part):
+            first = k if first is None else first
+        elif first is not None:
+            yield first, k
+            first = None
+
+
+def fitted(words: np.ndarray, text: np.ndarray, anchored: bool = False) -> tuple[int, int, int, int]:
+    """The span of text (its beginning, if anchored) nearest to words: words added, words missing, first, end."""
+    n, m = len(text), len(words)
+    step = n + 1  # a value is differences * step + n - first
+    ramp = np.arange(n + 1) * step
+    row = ramp + n if anchored else n - np.arange(n + 1)
+    for w in words:
+        turn = row + step
+        turn[1:] = np.where(text == w, np.minimum(turn[1:], row[:-1]), turn[1:])
+        row = np.minimum.accumulate(turn - ramp) + ramp
+    end = int(row.argmin())
+    apart, first = int(row[end] // step), n - int(row[end] % step)
+    return (apart + m - end + first) // 2, (apart - m + end - first) // 2, first, end
 
 
 class Scanner:
     """Compressors for each template, made once a task."""
 
-    def __init__(self, templates: dict[str, str], level: int = 9):
+    def __init__(self, templates: dict[str, str], texts: dict[str, str], level: int = 9):
         self.names, self.alone = sorted(templates), zstandard.ZstdCompressor(level=level)
-        made = lambda text: zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        self.given = {k: zstandard.ZstdCompressor(level=level, dict_data=made(templates[k])) for k in self.names}
         self.lines = {k: [_WORD.findall(x.lower()) for x in templates[k].split("\n")] for k in self.names}
-
-    def best(self, block: str, tries: int, differ: float) -> tuple[str, float, int, int, bool]:
-        """The confirmed template, or else the one that saves most: name, share saved, words added and missing."""
-        raw = block.encode()
-        plain = len(self.alone.compress(raw))
-        saved = sorted(((1 - len(self.given[k].compress(raw)) / plain, k) for k in self.names), key=lambda x: (-x[0], x[1]))
-        words, first = _WORD.findall(block.lower()), None
-        for share, name in saved[:tries]:
-            # the wording of the template line that is nearest
-            added, missing = min((_differences(words, line) for line in self.lines[name]), key=sum)
-            found = (name, share, added, missing, added + missing <= differ * max(1, len(words)))
-            first = first or found
-            if found[-1]:
-                return found
-        return first
+        whole = {k: f"{templates[k]}\n{texts.get(k, '')}" for k in self.names}
+        made = lambda text: zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        self.given = {k: zstandard.ZstdCompressor(level=level, dict_data=made(whole[k])) for k in self.names}
+        self.number: dict[str, int] = {}
+        for text in whole.values():
+            for x in _WORD.findall(text.lower()):
+                self.number.setdefault(x, len(self.number))
+        self.words = {k: self.numbers(whole[k]) for k in self.names}
+        self.known: dict[str, list] = {}
+
+    def numbers(self, text: str) -> np.ndarray:
+        return np.array([self.number.get(x, -1) for x in _WORD.findall(text.lower())], np.int64)
+
+    def ranked(self, block: str, tries: int) -> list[tuple]:
+        """The templates that save most: name, share, differences to the nearest line, nearest span."""
+        if block not in self.known:
+            if len(self.known) > 10_000:
+                self.known.clear()
+            raw, words, mine = block.encode(), _WORD.findall(block.lower()), self.numbers(block)
+            plain = len(self.alone.compress(raw))
+            saved = sorted(((1 - len(self.given[k].compress(raw)) / plain, k) for k in self.names), key=lambda x: (-x[0], x[1]))
+            self.known[block] = [(k, share, min((_differences(words, line) for line in self.lines[k]), key=sum), fitted(mine, self.words[k])) for share, k in saved[:tries]]
+        return self.known[block]
+
+    def grown(self, parts: list[tuple[int, str]], first: int, end: int, least: int, name: str, span: tuple[int, int]) -> tuple[int, int]:
+        """The run of parts around [first, end), from least on, that goes on with the template before and after span."""
+        text, (low, high), k = self.words[name], span, end
+        while k < len(parts):
+            mine = self.numbers(parts[k][1])
+            added, missing, _, used = fitted(mine, text[high : high + 2 * len(mine) + 8], anchored=True)
+            if 2 * (added + missing) > len(mine):
+                break
+            k, high, end = k + 1, high + used, k + 1 if len(mine) else end
+        k = first
+        while k > least:
+            mine = self.numbers(parts[k - 1][1])
+            added, missing, _, used = fitted(mine[::-1], text[max(0, low - 2 * len(mine) - 8) : low][::-1], anchored=True)
+            if 2 * (added + missing) > len(mine):
+                break
+            k, low, first = k - 1, low - used, k - 1 if len(mine) else first
+        return first, end
+
+    def scan(self, text: str, tries: int, differ: float, least_words: int) -> Iterator[tuple]:
+        """Each block: first line, last line, the confirmed template or else the one that saves most, share saved,
+        words added and missing, confirmed, text."""
+        parts, done, sure, out = sentences(text), 0, 0, []
+        told = lambda a, b: "\n".join(x for _, x in parts[a:b])
+        for a, b in blocks(parts):
+            a = max(a, done)
+            if a >= b:
+                continue
+            block, best = told(a, b), None
+            size = len(_WORD.findall(block))
+            for name, share, (added, missing), (more, less, *span) in self.ranked(block, tries):
+                first, end = self.grown(parts, a, b, sure, name, span)
+                whole, n = told(first, end), size
+                if (first, end) != (a, b):
+                    mine = self.numbers(whole)
+                    n, (more, less, *_) = len(mine), fitted(mine, self.words[name])
+                if n >= least_words and more + less <= differ * n:
+                    found = (first, end, name, share, more, less, True, whole)
+                else:
+                    found = (a, b, name, share, added, missing, added + missing <= differ * max(1, size), block)
+                best = best or found
+                if found[-2]:
+                    best = found
+                    break
+            done = best[1]
+            if best[-2]:
+                sure = done
+                while out and out[-1][1] > best[0]:  # blocks before it that weren't confirmed alone
+                    out.pop()
+            out.append(best)
+        for first, end, *found in out:
+            yield (parts[first][0], parts[end - 1][0], *found)
 
 
 def _differences(words: list[str], line: list[str]) -> tuple[int, int]:
@@ -80,27 +163,23 @@ def _differences(words: list[str], line: list[str]) -> tuple[int, int]:
     return len(words) - same, len(line) - same
 
 
-def scan_licenses(docs: DataFrame, *, templates: dict[str, str] | None = None, tries: int = 3, differ: float = 0.1) -> DataFrame:
+def scan_licenses(docs: DataFrame, *, templates: dict[str, str] | None = None, texts: dict[str, str] | None = None, tries: int = 3, differ: float = 0.1, least_words: int = 8) -> DataFrame:
     """A row for each candidate block of docs (doc_id, text): doc_id and FIELDS.
 
-    confirmed: words added to and missing from a template's wording are at most ``differ`` of the block's
-    words. Null and blank texts, and texts that don't speak of licensing, have no rows; rows that repeat
-    a doc_id are scanned each.
+    templates: notices and short forms of each licence, one a line; texts: whole texts. confirmed: words
+    added to and missing from a line of templates, or for blocks of ``least_words`` and more from a span
+    of templates and texts, are at most ``differ`` of the block's words. Null and blank texts, and texts that don't
+    speak of licensing, have no rows; rows that repeat a doc_id are scanned each.
     """
     small_batches(docs.sparkSession)
-    known = dict(templates or TEMPLATES)
+    known, whole = dict(templates or TEMPLATES), dict(texts if texts is not None else {} if templates else TEXTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner, cache = Scanner(known), {}
+        scanner = Scanner(known, whole)
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for k, (first, last, block) in enumerate(blocks(text)):
-                    if block not in cache:
-                        if len(cache) > 10_000:
-                            cache.clear()
-                        cache[block] = scanner.best(block, tries, differ)
-                    rows.append((doc, k, first, last, *cache[block], block))
+                rows += [(doc, k, *found) for k, found in enumerate(scanner.scan(text, tries, differ, least_words))]
             if rows:
                 kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.int32(), pa.int32(), pa.bool_(), pa.string())
                 yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", *(x.split()[0] for x in FIELDS.split(", "))])

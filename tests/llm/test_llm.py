@@ -218,6 +218,22 @@ def test_licenses_are_confirmed_by_wording(spark):
     assert got[1] == ("MIT", True) and got[4] == ("CC-BY-NC-4.0", True) and not got[2][1] and 3 not in got
 
 
+def test_licenses_are_found_whole_wrapped_and_in_part():
+    scanner = licenses.Scanner(licenses.TEMPLATES, licenses.TEXTS)
+    scan = lambda text: [(x[0], x[1], x[2], x[6]) for x in scanner.scan(text, 3, 0.1, 8)]
+    for name, text in licenses.TEXTS.items():
+        lines = text.rstrip().split("\n")
+        got = scan("Some words.\n\n" + "\n".join(lines) + "\n\nThe end.")
+        assert all(x[2:] == (name, True) for x in got) and sum(x[1] - x[0] + 1 for x in got) >= 0.9 * len(lines), (name, got)
+    mit = licenses.TEXTS["MIT"].split("\n\n")
+    assert scan(mit[0].replace("\n", " ")) == [(0, 0, "MIT", True)] and scan("Copyright (c) 2020 A B\n\n" + mit[0])[-1] == (2, 7, "MIT", True)
+    apache = licenses.TEXTS["Apache-2.0"]
+    header = apache[apache.index("   Licensed under the Apache") :].rstrip()
+    assert scan("\n".join("# " + x.strip() for x in header.split("\n")) + "\nimport os") == [(0, 10, "Apache-2.0", True)]
+    assert scan(" ".join(header.split())) == [(0, 0, "Apache-2.0", True)]
+    assert [x[3] for x in scan("The licensed driver took the bus home.\nNobody had a license for the old red boat at all.")] == [False]
+
+
 def test_mix_meets_targets_and_agrees(docs, empty):
     one, two = [sorted((tuple(map(str, r)) for r in mixing.mix_sources(docs, block=4)[0].collect())) for _ in range(2)]
     assert one == two
