@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._store import small_batches, stored
@@ -158,70 +158,81 @@ def _joined_spans(who: np.ndarray, beg: np.ndarray, length: int) -> tuple[np.nda
     return who[a], beg[a], beg[np.append(a[1:], len(who)) - 1] + length if len(a) else beg[:0]
 
 
+def row_key() -> Column:
+    """What tells rows (doc_id, text) apart; rows that agree in both are cut alike."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
+
+
 def repeated_spans(docs: DataFrame, *, length: int = 100, gram: int = 32, crowd: int = 65536, load: int = 2048) -> DataFrame:
-    """(doc_id, first, end): spans of bytes of docs (doc_id, text) to remove; they may overlap.
+    """(row, first, end): spans of bytes of docs (doc_id, text) to remove; they may overlap. row: see row_key.
 
     A byte goes if a string of ``length`` bytes over it also starts earlier: at a smaller doc_id, or
     earlier in the same. Rows that repeat a doc_id stand at the same place, so equal strings at the
-    same start of them aren't earlier than each other. Texts shorter than length have no spans.
+    same start of them aren't earlier than each other; each is cut for itself. A null doc_id comes first.
+    Texts shorter than length have no spans.
     """
     small_batches(docs.sparkSession)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).where(F.octet_length("text") >= length)
+    place = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
+    texts = docs.select(row_key().alias("row"), place.alias("doc_id"), F.col("text").cast("binary").alias("text")).where(F.octet_length("text") >= length)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, data, offs in chunks(batch.column(1)):
+            for i, j, data, offs in chunks(batch.column(2)):
                 row, anchor, whole, start, rel, n = pieces(data, offs, length, gram)
                 if len(row):
-                    yield pa.record_batch([batch.column(0).take(pa.array(row + i)), pa.array(anchor.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(start << 20 | rel << 10 | n)], ["doc_id", "anchor", "whole", "place"])
+                    at = pa.array(row + i)
+                    yield pa.record_batch([batch.column(0).take(at), batch.column(1).take(at), pa.array(anchor.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(start << 20 | rel << 10 | n)], ["row", "doc_id", "anchor", "whole", "place"])
 
-    found = texts.mapInArrow(cut, "doc_id long, anchor long, whole long, place long").repartition("anchor")
+    found = texts.mapInArrow(cut, "row long, doc_id long, anchor long, whole long, place long").repartition("anchor")
     here = F.struct("doc_id", F.col("place"))
     piece, group = Window.partitionBy("anchor", "whole"), Window.partitionBy("anchor")
     ranked = found.withColumn("lead", F.min(here).over(piece)).withColumn("lo", F.min("whole").over(group)).withColumn("hi", F.max("whole").over(group))
     copy = ~(F.col("lead.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("lead.place") == F.col("place")))
     ranked = ranked.withColumn("copy", copy).where(F.col("copy") | (F.col("lo") != F.col("hi")))
-    ranked = stored(ranked.select("doc_id", "anchor", F.shiftright("place", 20).alias("start"), F.shiftright("place", 10).bitwiseAND(1023).alias("rel"), F.col("place").bitwiseAND(1023).alias("n"), "copy"))
-    copies = ranked.where("copy").select("doc_id", F.col("start").alias("first"), (F.col("start") + F.col("n") - 1 + length).alias("end"))
+    ranked = stored(ranked.select("row", "doc_id", "anchor", F.shiftright("place", 20).alias("start"), F.shiftright("place", 10).bitwiseAND(1023).alias("rel"), F.col("place").bitwiseAND(1023).alias("n"), "copy"))
+    copies = ranked.where("copy").select("row", F.col("start").alias("first"), (F.col("start") + F.col("n") - 1 + length).alias("end"))
 
     asked = ranked.where("not copy").withColumn("crowd", F.count("*").over(group) > crowd)
-    asked = asked.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "start", "rel", "n", "crowd")).alias("wanted"))
-    met = texts.join(asked, "doc_id")
+    asked = asked.groupBy("row").agg(F.collect_set(F.struct("anchor", "start", "rel", "n", "crowd")).alias("wanted"))
+    met = texts.join(asked, "row")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs_, data, wanted = batch.column(0), batch.column(1), batch.column(2)
+            row, docs_, data, wanted = (batch.column(k) for k in range(4))
             raw, offs = column_bytes(data)
             rows = np.repeat(np.arange(len(batch)), wanted.value_lengths().to_numpy(zero_copy_only=False))
             anchor, start, rel, n, crowded = (wanted.flatten().field(k).to_numpy(zero_copy_only=False) for k in range(5))
             text = [raw[offs[r] + s : offs[r] + s + k - 1 + length].tobytes() for r, s, k in zip(rows, start, n, strict=True)]
-            yield pa.record_batch([docs_.take(pa.array(rows)), pa.array(anchor), pa.array(start), pa.array(rel), pa.array(crowded), pa.array(text, pa.binary())], ["doc_id", "anchor", "start", "rel", "crowd", "piece"])
+            yield pa.record_batch([docs_.take(pa.array(rows)), pa.array(anchor), pa.array(start), pa.array(rel), pa.array(crowded), pa.array(text, pa.binary()), row.take(pa.array(rows))], ["doc_id", "anchor", "start", "rel", "crowd", "piece", "row"])
 
-    parts = met.select("doc_id", "text", "wanted").mapInArrow(fetch, "doc_id long, anchor long, start long, rel long, crowd boolean, piece binary")
+    parts = met.select("row", "doc_id", "text", "wanted").mapInArrow(fetch, "doc_id long, anchor long, start long, rel long, crowd boolean, piece binary, row long")
     parts = stored(parts)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in _by_anchor(batches, load):
             doc, anchor, start, rel = (held.column(k).to_numpy(zero_copy_only=False) for k in range(4))
             raw, offs = column_bytes(held.column(4))
+            key = held.column(5).to_numpy(zero_copy_only=False)
             low, high = may_repeat(raw, offs, anchor, rel, length, gram)
             some = np.flatnonzero(high >= low)
-            doc, start, first, end = doc[some], start[some] + low[some], offs[some] + low[some], offs[some] + high[some] + length
-            # pieces that are equal so far as they can repeat: the earliest of them stays
+            key, doc, start, first, end = key[some], doc[some], start[some] + low[some], offs[some] + low[some], offs[some] + high[some] + length
+            # pieces that are equal so far as they can repeat: the earliest of them stays, in each row at its place
             _, same = np.unique(span_hash(prefix_hash(raw, BYTE_HASH), first, end), return_inverse=True)
-            order = np.lexsort((start, doc, same))
+            order = np.lexsort((key, start, doc, same))
             lead = np.ones(len(order), bool)
             lead[1:] = same[order[1:]] != same[order[:-1]]
-            stays, copy = order[lead], order[~lead]
-            whom = stays[np.cumsum(lead) - 1][~lead]
-            copy = copy[(doc[copy] != doc[whom]) | (start[copy] != start[whom])]
+            whom = order[lead][np.cumsum(lead) - 1] if len(order) else order
+            tied = (doc[order] == doc[whom]) & (start[order] == start[whom])
+            new = lead.copy()
+            new[1:] |= key[order[1:]] != key[order[:-1]]
+            stays, copy = order[tied & new], order[~tied]
             late = repeats([raw[a:b] for a, b in zip(first[stays], end[stays], strict=True)], doc[stays], start[stays], length)
             who, a, b = _joined_spans(late[0], late[1], length)
-            out = [doc[stays][who], doc[copy]], [start[stays][who] + a, start[copy]], [start[stays][who] + b, start[copy] + (end - first)[copy]]
-            yield pa.record_batch([pa.array(np.concatenate(x)) for x in out], ["doc_id", "first", "end"])
+            out = [key[stays][who], key[copy]], [start[stays][who] + a, start[copy]], [start[stays][who] + b, start[copy] + (end - first)[copy]]
+            yield pa.record_batch([pa.array(np.concatenate(x)) for x in out], ["row", "first", "end"])
 
-    quiet = parts.where("not crowd").select("doc_id", "anchor", "start", "rel", "piece").repartition("anchor").sortWithinPartitions("anchor")
-    spans = quiet.mapInArrow(search, "doc_id long, first long, end long")
+    quiet = parts.where("not crowd").select("doc_id", "anchor", "start", "rel", "piece", "row").repartition("anchor").sortWithinPartitions("anchor")
+    spans = quiet.mapInArrow(search, "row long, first long, end long")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -231,12 +242,12 @@ def repeated_spans(docs: DataFrame, *, length: int = 100, gram: int = 32, crowd:
                 inner = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
                 a = offs[row] + inner
                 start = batch.column(1).to_numpy(zero_copy_only=False)[i + row] + inner
-                yield pa.record_batch([batch.column(0).take(pa.array(i + row)), pa.array(start), pa.array(span_hash(run, a, a + length).view(np.int64))], ["doc_id", "start", "window"])
+                yield pa.record_batch([batch.column(0).take(pa.array(i + row)), pa.array(start), pa.array(span_hash(run, a, a + length).view(np.int64)), batch.column(3).take(pa.array(i + row))], ["doc_id", "start", "window", "row"])
 
-    busy = parts.where("crowd").select("doc_id", "start", "piece").mapInArrow(windows, "doc_id long, start long, window long")
+    busy = parts.where("crowd").select("doc_id", "start", "piece", "row").mapInArrow(windows, "doc_id long, start long, window long, row long")
     least = busy.groupBy("window").agg(F.min(F.struct("doc_id", "start")).alias("lead"))
     late = busy.join(least, "window").where((F.col("lead.doc_id") != F.col("doc_id")) | (F.col("lead.start") != F.col("start")))
-    return copies.unionAll(spans).unionAll(late.select("doc_id", F.col("start").alias("first"), (F.col("start") + length).alias("end")))
+    return copies.unionAll(spans).unionAll(late.select("row", F.col("start").alias("first"), (F.col("start") + length).alias("end")))
 
 
 def _by_anchor(batches: Iterator[pa.RecordBatch], load: int) -> Iterator[pa.RecordBatch]:
@@ -269,9 +280,9 @@ def cut_repeats(docs: DataFrame, **options) -> DataFrame:
     kept: what is left of the text's UTF-8 bytes; it needn't be valid UTF-8. A null text is empty.
     """
     spans = repeated_spans(docs, **options)
-    by_doc = spans.groupBy("doc_id").agg(F.collect_list(F.struct("first", "end")).alias("spans"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
-    joined = texts.join(by_doc.withColumnRenamed("doc_id", "of"), F.col("doc_id") == F.col("of"), "left").select("doc_id", "text", "spans")
+    by_row = spans.groupBy("row").agg(F.collect_set(F.struct("first", "end")).alias("spans"))
+    texts = docs.select(row_key().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
+    joined = texts.join(by_row, "row", "left").select("doc_id", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

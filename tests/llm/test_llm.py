@@ -111,6 +111,27 @@ def test_suffix_dedup_matches_every_window(docs, empty):
     assert suffix_dedup.cut_repeats(empty).count() == 0
 
 
+def test_suffix_dedup_cuts_rows_of_one_doc_id_apart(spark):
+    rng = random.Random(12)
+    make = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    p, q, r = make(260), make(180), make(230)
+    rows = [(1, p + make(90) + q), (5, make(300) + p), (5, make(120)), (5, make(40) + q + make(300)), (7, p + make(150)), (7, p + make(210)), (7, r), (7, r), (8, make(30) + r), (None, r[:140] + make(50)), (None, make(160))]
+    first, want = {}, []
+    for k, t in sorted(rows, key=lambda x: (x[0] is not None, x[0])):
+        for i in range(len(t) - 99):
+            at = first.setdefault(t[i : i + 100], (k is not None, k or 0, i))
+            first[t[i : i + 100]] = min(at, (k is not None, k or 0, i))
+    for k, t in rows:
+        gone = set()
+        for i in range(len(t) - 99):
+            if first[t[i : i + 100]] != (k is not None, k or 0, i):
+                gone |= set(range(i, i + 100))
+        want.append((str(k), len(t), "".join(c for i, c in enumerate(t) if i not in gone)))
+    for crowd in (65536, 1):
+        got = suffix_dedup.cut_repeats(spark.createDataFrame(rows, "doc_id long, text string"), crowd=crowd).collect()
+        assert sorted((str(x.doc_id), x.n_bytes, bytes(x.kept).decode()) for x in got) == sorted(want)
+
+
 def test_sorted_suffixes_and_common_prefixes():
     rng = random.Random(5)
     texts = ["".join(rng.choice("ab") for _ in range(rng.randint(0, 30))).encode() for _ in range(12)]
