@@ -26,7 +26,12 @@ def rank4(code, factor: int = 167, shift: int = 13):
     return (code * factor + shift) % 256
 
 
-def common_prefix(a: Column, b: Column, low: int, high: int) -> Column:
-    """Length of the common prefix of two strings that share low symbols and are high long (null: low)."""
-    shared = F.filter(F.sequence(F.lit(low + 1), F.lit(high)), lambda k: F.substring(a, F.lit(1), k) == F.substring(b, F.lit(1), k))
-    return F.size(shared) + low
+def shared_symbols(a: Column, b: Column, symbols: int) -> Column:
+    """Length of the common prefix of two packed sequences of ``symbols`` base-4 digits (2 * symbols bits of a long)."""
+    apart = F.bin(a.bitwiseXOR(b))
+    return F.when(a == b, symbols).otherwise(symbols - F.ceil(F.length(apart) / 2)).cast("int")
+
+
+def digits_of(packed: Column, symbols: int) -> Column:
+    """A packed sequence as a string of digits."""
+    return F.lpad(F.conv(packed.cast("string"), 10, 4), symbols, "0")

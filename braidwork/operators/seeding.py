@@ -1,50 +1,77 @@
-"""Syncmer sampling, the k-mer table, adaptive seeds, and chains of seeds."""
+"""Syncmer sampling, the k-mer table, adaptive seeds, and chains of seeds.
+
+k-mers are packed into two longs, hi and lo, of 20 bases each, so that they compare as numbers, and a record's
+position and strand into place = 2 * pos + strand.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.bases import BAND_BITS, CHAIN_BREAK, CHAIN_MIN, FREQ, KMER, SMER, TMER, WINDOW, common_prefix, rank4, reverse_complement
+from ..functions.bases import BAND_BITS, CHAIN_BREAK, CHAIN_MIN, FREQ, KMER, SMER, TMER, WINDOW, rank4, shared_symbols
+from ..store import stored
+from .ranges import mask_ahead
+
+HALF = KMER // 2  # bases of hi and of lo
+_ORDER = ["hi", "lo", "ctg", "place"]
 
 
-def _ranks(seq: np.ndarray) -> np.ndarray:
+def _ranks(seq: np.ndarray, ranks: np.ndarray | None = None) -> np.ndarray:
     """Order of the 8-mer at each place of a sequence of digits, the same for its reverse complement."""
     d = seq.astype(np.int64)
     n = len(d) - 3
     code = d[:n] * 64 + d[1 : n + 1] * 16 + d[2 : n + 2] * 4 + d[3 : n + 3]
     back = (3 - d[3 : n + 3]) * 64 + (3 - d[2 : n + 2]) * 16 + (3 - d[1 : n + 1]) * 4 + (3 - d[:n])
-    rank, other = rank4(code), rank4(back)
+    rank, other = (rank4(code), rank4(back)) if ranks is None else (ranks[code], ranks[back])
     return np.minimum(rank[:-4] * 256 + rank[4:], other[4:] * 256 + other[:-4])
 
 
-def _selected(seq: np.ndarray) -> np.ndarray:
-    mz = _ranks(seq)
+def _selected(seq: np.ndarray, ranks: np.ndarray | None = None) -> np.ndarray:
+    mz = _ranks(seq, ranks)
     ends = np.minimum(mz[: 1 - WINDOW], mz[WINDOW - 1 :])
     return np.flatnonzero(ends == np.lib.stride_tricks.sliding_window_view(mz, WINDOW).min(axis=1))
 
 
+def _checked(ranks: list[int] | None) -> np.ndarray | None:
+    """A table of 4-mer ranks from outside: a permutation of 0-255, by the 4-mer's code."""
+    if ranks is not None and sorted(ranks) != list(range(256)):
+        raise ValueError("ranks must be a permutation of 0-255")
+    return None if ranks is None else np.array(ranks, np.int64)
+
+
 def _by_contig(contigs: DataFrame, schema: str, make) -> DataFrame:
     """make(digits, raw bytes) of each contig long enough, as columns after ctg, row by row of an Arrow batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [x.split()[0] for x in schema.split(", ")]
         for batch in batches:
+            held: list[pa.RecordBatch] = []
             for ctg, seq in zip(batch.column(0), batch.column(1), strict=True):
                 raw = np.frombuffer(seq.as_py().encode(), np.uint8)
                 columns = make(raw - 48, raw)
                 if len(columns[0]):
-                    yield pa.record_batch([pa.repeat(ctg, len(columns[0])), *columns], names=[x.split()[0] for x in schema.split(", ")])
+                    held.append(pa.record_batch([pa.repeat(ctg, len(columns[0])), *columns], names=names))
+                if sum(map(len, held)) > 50_000:
+                    yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                    held = []
+            if held:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
     return contigs.where(F.length("seq") >= SMER + WINDOW - 1).select(F.col("ctg").cast("long"), "seq").mapInArrow(run, schema)
 
 
-def syncmers(contigs: DataFrame) -> DataFrame:
-    """(ctg, j): closed syncmers, the runs of WINDOW 8-mers whose least is the first or last; nothing is shuffled."""
-    return _by_contig(contigs, "ctg long, j int", lambda digits, raw: [pa.array(_selected(digits), pa.int32())])
+def syncmers(contigs: DataFrame, ranks: list[int] | None = None) -> DataFrame:
+    """(ctg, j): closed syncmers, the runs of WINDOW 8-mers whose least is the first or last; nothing is shuffled.
+
+    ranks: the order of the 256 4-mers, in place of the linear rule.
+    """
+    given = _checked(ranks)
+    return _by_contig(contigs, "ctg long, j int", lambda digits, raw: [pa.array(_selected(digits, given), pa.int32())])
 
 
 def _kmers(raw: np.ndarray, at: np.ndarray) -> pa.Array:
@@ -52,14 +79,30 @@ def _kmers(raw: np.ndarray, at: np.ndarray) -> pa.Array:
     return pa.StringArray.from_buffers(len(at), pa.py_buffer((np.arange(len(at) + 1) * KMER).astype(np.int32)), pa.py_buffer(flat))
 
 
-def records(contigs: DataFrame) -> DataFrame:
-    """(ctg, pos, strand, kmer): a forward and a reverse k-mer at each syncmer, where they fit."""
+def _packed(digits: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """hi and lo of the k-mers at given places: doubling packs 1, 2, 4, 8 and 16 bases, and 4 more."""
+    one = digits.astype(np.int64)
+    run = {1: one}
+    for n in (1, 2, 4, 8):
+        run[2 * n] = (run[n][:-n] << (2 * n)) | run[n][n:]
+    whole = (run[16][:-4] << 8) | run[4][16:]
+    return whole[at], whole[at + HALF]
+
+
+def _places(digits: np.ndarray, ranks: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Where the forward k-mers begin, and the reverse ones' syncmers, of those that fit."""
+    j, n = _selected(digits, ranks), len(digits)
+    return j[j <= n - KMER], j[(j >= KMER - TMER) & (j + TMER <= n)]
+
+
+def records(contigs: DataFrame, ranks: list[int] | None = None) -> DataFrame:
+    """(ctg, pos, strand, kmer): a forward and a reverse k-mer at each syncmer, where they fit; k-mers as digits."""
+    given = _checked(ranks)
 
     def make(digits: np.ndarray, raw: np.ndarray) -> list[pa.Array]:
         if len(raw) < KMER:
             return [pa.array([], pa.int32())]
-        j, n = _selected(digits), len(raw)
-        ahead, back = j[j <= n - KMER], j[(j >= KMER - TMER) & (j + TMER <= n)]
+        (ahead, back), n = _places(digits, given), len(raw)
         # place p of the reverse complement is place n - 1 - p of the sequence
         turned = (3 - digits[::-1]).astype(np.uint8) + np.uint8(48)
         kmers = pa.concat_arrays([_kmers(raw, ahead), _kmers(turned, n - TMER - back)])
@@ -69,17 +112,99 @@ def records(contigs: DataFrame) -> DataFrame:
     return _by_contig(contigs, "ctg long, pos int, strand int, kmer string", make)
 
 
-def kmer_table(recs: DataFrame) -> DataFrame:
-    """records with pre (first TMER bases), lcp and plen: the longest prefix shared with a neighbour in order.
+def packed_records(contigs: DataFrame, ranks: list[int] | None = None) -> DataFrame:
+    """(hi, lo, ctg, place): the rows of records, packed."""
+    given = _checked(ranks)
+
+    def make(digits: np.ndarray, raw: np.ndarray) -> list[pa.Array]:
+        if len(raw) < KMER:
+            return [pa.array([], pa.int64())]
+        ahead, back = _places(digits, given)
+        forward, reverse = _packed(digits, ahead), _packed(3 - digits[::-1], len(raw) - TMER - back)
+        place = np.concatenate([2 * ahead, 2 * (back + TMER) + 1])
+        return [pa.array(place), *(pa.array(np.concatenate(x)) for x in zip(forward, reverse, strict=True))]
+
+    return _by_contig(contigs, "ctg long, place long, hi long, lo long", make).select(_ORDER)
 
-    The window is keyed by pre: a shorter common prefix than TMER makes no seed, so none is looked for.
+
+def _stretches(batches: Iterator[pa.RecordBatch], reach: int, size: int = 1 << 17) -> Iterator[tuple]:
+    """A sorted partition in stretches: columns, the rows [a, b) to work on, whether it is the first and the last.
+
+    Every row to work on has reach rows around it, but at the partition's ends.
+    """
+    held, rows, first = [], 0, True
+    for batch in batches:
+        if len(batch):
+            held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            rows += len(batch)
+        if rows >= size:
+            cols = [np.concatenate(x) for x in zip(*held, strict=True)]
+            yield cols, 0 if first else reach, rows - reach, first, False
+            held, rows, first = [[c[-2 * reach :] for c in cols]], 2 * reach, False
+    if rows:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)], 0 if first else reach, rows, first, True
+
+
+def in_kmer_order(recs: DataFrame, schema: str, reach: int, make: Callable[..., list[np.ndarray]]) -> DataFrame:
+    """make over all packed records in the order of k-mers, where each row sees reach rows on either side.
+
+    make(hi, lo, ctg, place, use) gives the columns of schema for the rows that the mask use selects. Records
+    are cut into ranges of whole keys (k-mer, contig, place), so neither a frequent k-mer nor a frequent prefix
+    lands in one task. Rows within reach of a cut wait: with their neighbours, 4 * reach rows a cut, they are
+    put in order once more, by prefix. Neighbours that don't share TMER bases needn't be seen.
     """
-    order = Window.partitionBy("pre").orderBy("kmer", "ctg", "pos", "strand")
-    with_pre = recs.withColumn("pre", F.substring("kmer", 1, TMER))
-    last = F.lag("kmer").over(order)
-    lcp = F.when(last.isNull(), 0).otherwise(common_prefix(F.col("kmer"), F.col("last"), TMER, KMER))
-    lcps = with_pre.withColumn("last", last).withColumn("lcp", F.when(F.col("last").isNull(), 0).otherwise(lcp)).drop("last")
-    return lcps.withColumn("plen", F.greatest("lcp", F.coalesce(F.lead("lcp").over(order), F.lit(0))))
+    names = [x.split()[0] for x in schema.split(", ")]
+    both = f"{schema}, e_hi long, e_lo long, e_ctg long, e_place long, e_open boolean"
+
+    def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cols, a, b, first, last in _stretches(batches, reach):
+            n = len(cols[0])
+            use, open_, edge = np.zeros(n, bool), np.zeros(n, bool), np.zeros(n, bool)
+            use[a + reach * first : max(0, b - reach * last)] = True
+            if first:
+                open_[:reach] = edge[: 2 * reach] = True
+            if last:
+                open_[max(0, n - reach) :] = edge[max(0, n - 2 * reach) :] = True
+            out = make(*cols, use & ~open_)
+            k, at = len(out[0]), np.flatnonzero(edge)
+            blank = lambda kind, m: pa.nulls(m, kind)
+            found = [pa.concat_arrays([pa.array(c), blank(pa.array(c).type, len(at))]) for c in out]
+            edges = [pa.concat_arrays([blank(pa.int64(), k), pa.array(c[at])]) for c in cols]
+            yield pa.record_batch([*found, *edges, pa.concat_arrays([blank(pa.bool_(), k), pa.array(open_[at])])], names=[*names, "e_hi", "e_lo", "e_ctg", "e_place", "e_open"])
+
+    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (*cols, open_), a, b, _, _ in _stretches(batches, reach):
+            use = open_.astype(bool)
+            use[:a] = use[b:] = False
+            yield pa.record_batch([pa.array(c) for c in make(*cols, use)], names=names)
+
+    # stored: two passes read it, and a range's cuts are drawn anew each time it is planned
+    cut = stored(recs.select(_ORDER).repartitionByRange(*_ORDER).sortWithinPartitions(*_ORDER).mapInArrow(ranges, both))
+    waiting = cut.where("e_open is not null").select(*(F.col(f"e_{c}").alias(c) for c in [*_ORDER, "open"]))
+    pre = F.shiftright("hi", 2 * (HALF - TMER))
+    rest = waiting.repartition(pre).sortWithinPartitions(*_ORDER).mapInArrow(edges, schema)
+    return cut.where("e_open is null").select(names).unionAll(rest)
+
+
+def _shared(hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    """Common prefix of each row with the row before (the first: 0); under TMER it counts as none."""
+    out = np.zeros(len(hi) + 1, np.int8)  # one more: nothing follows the last
+    length = lambda x: np.frexp(x.astype(np.float64))[1]  # noqa: E731  bits of x, exact below 2**53
+    top, low = hi[1:] ^ hi[:-1], lo[1:] ^ lo[:-1]
+    out[1:-1] = np.where(top > 0, HALF - (length(top) + 1) // 2, KMER - (length(low) + 1) // 2)
+    return np.where(out < TMER, 0, out)
+
+
+def kmer_table(recs: DataFrame) -> DataFrame:
+    """(ctg, pos, strand, hi, lo, lcp, plen) of packed records: prefixes shared with the k-mer before, and the longest
+    shared with either neighbour; under TMER they count as 0."""
+
+    def make(hi, lo, ctg, place, use):
+        lcp = _shared(hi, lo)
+        plen = np.maximum(lcp[:-1], lcp[1:])
+        return [ctg[use], (place[use] >> 1).astype(np.int32), (place[use] & 1).astype(np.int32), hi[use], lo[use], lcp[:-1][use].astype(np.int32), plen[use].astype(np.int32)]
+
+    return in_kmer_order(recs, "ctg long, pos int, strand int, hi long, lo long, lcp int, plen int", 1, make)
 
 
 def lcp_histogram(recs: DataFrame) -> DataFrame:
@@ -90,27 +215,51 @@ def lcp_histogram(recs: DataFrame) -> DataFrame:
     """
     half = TMER // 2
     inside = kmer_table(recs).where(F.col("lcp") >= TMER).select("lcp")
-    heads = recs.select(F.substring("kmer", 1, TMER).alias("pre")).distinct().withColumn("stem", F.substring("pre", 1, half))
+    heads = recs.select(F.shiftright("hi", 2 * (HALF - TMER)).alias("pre")).distinct().withColumn("stem", F.shiftright("pre", 2 * half))
     within = heads.withColumn("last", F.lag("pre").over(Window.partitionBy("stem").orderBy("pre"))).where("last is not null")
     stems = heads.select("stem").distinct().withColumn("last", F.lag("stem").over(Window.orderBy("stem")))
-    between = F.when(F.col("last").isNull(), 0).otherwise(common_prefix(F.col("stem"), F.col("last"), 0, half))
-    lcps = inside.unionAll(within.select(common_prefix(F.col("pre"), F.col("last"), half, TMER))).unionAll(stems.select(between))
+    between = F.when(F.col("last").isNull(), 0).otherwise(shared_symbols(F.col("stem"), F.col("last"), half))
+    lcps = inside.unionAll(within.select(shared_symbols(F.col("pre"), F.col("last"), TMER))).unionAll(stems.select(between))
     return lcps.groupBy("lcp").agg(F.count("*").alias("n"))
 
 
 def seeds(recs: DataFrame) -> DataFrame:
-    """(ctg_a, pos_a, ctg_b, pos_b, comp, plen): occurrences that share their longest common prefix.
+    """(ctg_a, pos_a, ctg_b, pos_b, comp, plen): occurrences (packed records) that share their longest common prefix.
 
     An occurrence whose prefix FREQ or more share makes none; partners stand within FREQ - 1 places
     in k-mer order, so a bounded frame replaces the join on prefixes, whatever the prefix's frequency.
     """
-    order = Window.partitionBy("pre").orderBy("kmer", "ctg", "pos", "strand")
-    near = lambda lo, hi: F.collect_list(F.struct("kmer", "ctg", "pos", "strand")).over(order.rowsBetween(lo, hi))
-    table = kmer_table(recs).withColumn("before", near(1 - FREQ, -1)).withColumn("after", near(1, FREQ - 1)).where(F.col("plen") >= TMER)
-    same = lambda x: F.substring(x["kmer"], F.lit(1), F.col("plen")) == F.substring(F.col("kmer"), F.lit(1), F.col("plen"))
-    table = table.withColumn("mates", F.filter(F.concat("before", "after"), same)).where(F.size("mates") + 1 < FREQ)
-    found = table.select(F.col("ctg").alias("ctg_a"), F.col("pos").alias("pos_a"), "strand", "plen", F.explode("mates").alias("m"))
-    return found.select("ctg_a", "pos_a", F.col("m.ctg").alias("ctg_b"), F.col("m.pos").alias("pos_b"), (F.col("strand") != F.col("m.strand")).alias("comp"), "plen")
+
+    def make(hi, lo, ctg, place, use):
+        lcp, n = _shared(hi, lo), len(hi)
+        plen = np.maximum(lcp[:-1], lcp[1:])
+        count, fits = np.zeros(n, np.int8), []
+        ahead, back = np.full(n, KMER, np.int8), np.full(n, KMER, np.int8)
+        for k in range(1, min(FREQ, n)):  # least common prefix on the way to the k-th row after, and before
+            ahead = np.minimum(ahead[: n - k], lcp[k:n])
+            back[k:] = np.minimum(back[k:], lcp[1 : n - k + 1])
+            fits.append((ahead >= plen[: n - k], back[k:] >= plen[k:]))
+            count[: n - k] += fits[-1][0]
+            count[k:] += fits[-1][1]
+        kept = use & (plen >= TMER) & (count + 1 < FREQ)
+        a, b = [], []
+        for k, (after, before) in enumerate(fits, 1):
+            i = np.flatnonzero(after & kept[: n - k])
+            j = np.flatnonzero(before & kept[k:]) + k
+            a += [i, j]
+            b += [i + k, j - k]
+        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
+        return [ctg[a], (place[a] >> 1).astype(np.int32), ctg[b], (place[b] >> 1).astype(np.int32), ((place[a] ^ place[b]) & 1).astype(bool), plen[a].astype(np.int32)]
+
+    return in_kmer_order(recs, "ctg_a long, pos_a int, ctg_b long, pos_b int, comp boolean, plen int", FREQ - 1, make)
+
+
+def unmasked(found: DataFrame, masks: DataFrame) -> DataFrame:
+    """Seeds whose shared prefix reaches beyond the mask, if any, that holds its start on either side; masks (ctg, beg, end), disjoint."""
+    for side in ("a", "b"):
+        own = masks.select(F.col("ctg").alias(f"ctg_{side}"), "beg", "end")
+        found = mask_ahead(found, own, f"ctg_{side}", f"pos_{side}", most=KMER).where(F.col("mask") < F.col("plen")).drop("mask")
+    return found
 
 
 def banded(found: DataFrame, longest: int) -> DataFrame:
@@ -128,6 +277,8 @@ def chains(with_bands: DataFrame) -> DataFrame:
     """
     key = ["ctg_a", "ctg_b", "comp"]
     s = with_bands.select(*key, "band", "ad", "dg", (2 * F.col("plen")).alias("w"))
+    # a pair whose seeds don't cover CHAIN_MIN in all has no chain; most pairs go here, before they are sorted
+    s = s.withColumn("all", F.sum("w").over(Window.partitionBy(*key))).where(F.col("all") >= CHAIN_MIN).drop("all")
     present = Window.partitionBy(*key).orderBy("band").rangeBetween(-1, -1)
     s = s.withColumn("below", F.count("*").over(present) > 0)
     own = F.struct(F.col("band").alias("base"), F.col("ad"), F.col("dg"), F.col("w"), F.lit(1).alias("role"), F.col("below"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.bases import LETTERS
+from ..functions.bases import LETTERS, digits_of, reverse_complement
 from ..operators import relational as R
 from ..operators import seeding as S
 from ..sources.sequences import sequences_from_documents, table
@@ -61,7 +61,7 @@ def _micros():
 
 
 def _recs(spark: SparkSession, d: str) -> DataFrame:
-    return S.records(sequences_from_documents(spark, d))
+    return S.packed_records(sequences_from_documents(spark, d))
 
 
 def _bands(spark: SparkSession, d: str) -> DataFrame:
@@ -79,21 +79,22 @@ def syncmer_select(spark: SparkSession, d: str) -> DataFrame:
 
 
 def syncmer_records(spark: SparkSession, d: str) -> DataFrame:
-    return _recs(spark, d).groupBy("ctg").agg(F.sum(1 - F.col("strand")).alias("n_forward"), F.sum("strand").alias("n_reverse"))
+    return _recs(spark, d).groupBy("ctg").agg(F.sum((F.col("place") + 1) % 2).alias("n_forward"), F.sum(F.col("place") % 2).alias("n_reverse"))
 
 
 def kmer_bucket_histogram(spark: SparkSession, d: str) -> DataFrame:
-    counts = _recs(spark, d).groupBy(F.substring("kmer", 1, 5).alias("bucket")).agg(F.count("*").alias("n"))
+    counts = _recs(spark, d).groupBy(F.shiftright("hi", 30).alias("b")).agg(F.count("*").alias("n")).select(digits_of(F.col("b"), 5).alias("bucket"), "n")
     return counts.withColumn("up_to", F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)))
 
 
 def prefix_runs(spark: SparkSession, d: str) -> DataFrame:
-    runs = _recs(spark, d).groupBy(F.substring("kmer", 1, 12).alias("pre")).agg(F.count("*").alias("n"))
+    runs = _recs(spark, d).groupBy(F.shiftright("hi", 16).alias("pre")).agg(F.count("*").alias("n"))
     return runs.groupBy("n").agg(F.count("*").alias("groups"))
 
 
 def kmer_count_histogram(spark: SparkSession, d: str) -> DataFrame:
-    one = _recs(spark, d).groupBy(F.least("kmer", S.reverse_complement(F.col("kmer"))).alias("k")).agg(F.count("*").alias("n"))
+    recs = S.records(sequences_from_documents(spark, d))
+    one = recs.groupBy(F.least("kmer", reverse_complement(F.col("kmer"))).alias("k")).agg(F.count("*").alias("n"))
     return one.groupBy(F.least("n", F.lit(100)).alias("freq")).agg(F.count("*").alias("kmers"))
 
 

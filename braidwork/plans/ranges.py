@@ -7,12 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.bases import KMER, encode
 from ..operators import alignment as A
 from ..operators import ranges as G
 from ..operators import relational as R
 from ..operators import seeding as S
-from ..sources.sequences import sequences_from_documents, table
+from ..sources.sequences import encoded, sequences_from_documents, table
 from .catalogue import _ENC, _POS, _REC, _SEQ, _bands, _micros, _recs
 
 HOUR = 3_600_000_000
@@ -59,9 +58,9 @@ def skeleton_match(spark: SparkSession, d: str) -> DataFrame:
 
 
 def kmer_lookup(spark: SparkSession, d: str) -> DataFrame:
-    items = table(spark, d, "benchmark").select(F.col("item_id").alias("ctg"), encode(F.col("text")).alias("seq")).where(F.length("seq") >= KMER)
-    known = _recs(spark, d).groupBy("kmer").agg(F.count("*").alias("n"))
-    looked = S.records(items).join(known, "kmer", "left").groupBy(F.col("ctg").alias("item_id"))
+    items = encoded(table(spark, d, "benchmark").select(F.col("item_id").alias("ctg"), F.lit(None).alias("scaf"), "text"))
+    known = _recs(spark, d).groupBy("hi", "lo").agg(F.count("*").alias("n"))
+    looked = S.packed_records(items).join(known, ["hi", "lo"], "left").groupBy(F.col("ctg").alias("item_id"))
     return looked.agg(F.count("*").alias("n_kmers"), F.count("n").alias("n_found"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_places"))
 
 

@@ -2,17 +2,50 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.bases import KMER, encode
+from ..functions.bases import KMER, LETTERS
+
+_DIGIT = np.zeros(256, np.uint8)
+_DIGIT[[ord(c) for c in LETTERS]] = [48 + k % 4 for k in range(len(LETTERS))]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows dealt anew where they come in fewer files than there are cores: a file's row group is one task."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(2 * cores) if len(rows.inputFiles()) < cores else rows
+
+
+def encoded(texts: DataFrame, *, least: int = KMER) -> DataFrame:
+    """(ctg, scaf, seq) of texts (ctg, scaf, text): letters a-z as digits 0-3 dealt in turn, all else dropped; least long."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = pc.fill_null(batch.column(2), "").cast(pa.large_string())
+            _, offsets, data = column.buffers()
+            offs = np.frombuffer(offsets, np.int64, len(column) + 1, column.offset * 8)
+            digits = _DIGIT[np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)]
+            kept = np.concatenate([[0], np.cumsum(digits > 0)])[offs]
+            flat = digits[offs[0] : offs[-1]] if len(offs) else digits
+            seq = pa.LargeStringArray.from_buffers(len(column), pa.py_buffer(kept - kept[0]), pa.py_buffer(np.ascontiguousarray(flat[flat > 0])))
+            long_ = pa.array(np.diff(kept) >= least)
+            yield pa.record_batch([batch.column(0), batch.column(1), seq.cast(pa.string())], ["ctg", "scaf", "seq"]).filter(long_)
+
+    rows = texts.select(F.col("ctg").cast("long").alias("ctg"), F.col("scaf").cast("string").alias("scaf"), F.lower("text").alias("text"))
+    return rows.mapInArrow(run, "ctg long, scaf string, seq string")
+
+
 def sequences_from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(ctg, scaf, seq) of the documents that encode to a k-mer at least."""
-    docs = table(spark, sf_dir, "documents")
-    return docs.select(F.col("doc_id").alias("ctg"), F.col("source").alias("scaf"), encode(F.col("text")).alias("seq")).where(F.length("seq") >= KMER)
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return encoded(docs.select(F.col("doc_id").alias("ctg"), F.col("source").alias("scaf"), "text"))
