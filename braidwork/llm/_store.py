@@ -1,35 +1,16 @@
-"""Shared helpers: stored intermediate tables and columns that cannot clash."""
+"""Shared helpers: stored intermediate tables, bounded batches, and rows picked before they are shuffled."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-#: Arrow batches are cut to this many rows, so that a batch of long texts stays small.
-BATCH_ROWS = 1024
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if known:
-        return known.rstrip("/")
-    found = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if found.isDefined():
-        return found.get().rstrip("/")
-    return "file:///tmp/checkpoints/braidwork"
+from ..store import cleared, shared_dir, stored
 
+__all__ = ["cleared", "only", "shared_dir", "small_batches", "stored"]
 
-def stored(df: DataFrame, *, partition_by: str | None = None) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: the lineage ends there."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    writer = df.write
-    if partition_by:
-        writer = writer.partitionBy(partition_by)
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Arrow batches are cut to this many rows, so that a batch of long texts stays small.
+BATCH_ROWS = 1024
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -37,3 +18,13 @@ def small_batches(spark: SparkSession) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
+
+
+def only(docs: DataFrame, ids: DataFrame, key: str, *, out: bool = False, most: int = 2_000_000) -> DataFrame:
+    """The rows of docs whose key, a long, is in ids (one column, stored), or isn't (out); rows with a null key are not in ids.
+
+    Up to ``most`` ids are broadcast, so that texts needn't be shuffled to be picked; of more, the join is left to Spark.
+    """
+    ids = ids.select(F.col(ids.columns[0]).alias(key)).where(F.col(key).isNotNull()).distinct()
+    few = ids.limit(most + 1).count() <= most
+    return docs.join(F.broadcast(ids) if few else ids, key, "left_anti" if out else "left_semi")

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._graph import components
-from ._store import small_batches, stored
+from ._store import only, small_batches, stored
 from ._text import Words, chunks, join_hashes, mix, set_hash, shingles
 
 RATIO = 1.5  # of the upper and lower size of a band
@@ -225,7 +225,8 @@ def _with_items(docs: DataFrame, asked: DataFrame, width: int) -> DataFrame:
             yield out.filter(pa.array(own[row.to_numpy()] == flat.field(1).to_numpy(zero_copy_only=False)))
 
     by_doc = asked.groupBy("doc_id").agg(F.collect_list(F.struct("deal", "set_id", "buckets")).alias("deals"))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(by_doc, "doc_id").select("text", "deals").mapInArrow(run, schema)
+    texts = only(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), asked.select("doc_id"), "doc_id")
+    return texts.join(by_doc, "doc_id").select("text", "deals").mapInArrow(run, schema)
 
 
 def _deals(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, list[np.ndarray]]]:
@@ -425,4 +426,4 @@ def link_components(docs: DataFrame, **options) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """docs without the documents that link, directly or by steps, to one with a smaller doc_id."""
     known = stored(link_components(docs, **options).where("doc_id <> component_id").select("doc_id").distinct())
-    return docs.join(known, "doc_id", "left_anti")
+    return only(docs, known, "doc_id", out=True)
