@@ -5,8 +5,9 @@ them), of its word pairs and of pairs that skip one or two words. Each feature i
 keeps a learning rate by coordinate; its L1 term leaves most weights at zero, so the model is a short
 list of (feature, weight) that is broadcast for scoring; 2**bits bounds it.
 
-Training sees at most ``max_rows`` labelled rows (those of the least hashes of doc_id), ``epochs``
-times, in one task that holds one Arrow batch and the weights. Scoring is a pass over all rows.
+Training sees at most ``max_rows`` labelled rows (those of the least hashes of doc_id, then of text), ``epochs``
+times, in one task that holds the features of these rows and the weights. Their order follows from the hashes
+alone, so the model doesn't depend on files, tasks or retries. Scoring is a pass over all rows.
 """
 
 from __future__ import annotations
@@ -81,13 +82,19 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, *, bits: int = 20, max_ro
     # max_rows bounds what is broadcast here
     picked = stored(known.orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(max_rows))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id")
+    # a doc_id may repeat in docs: the bound holds for rows too
+    rows = rows.withColumn("a", F.xxhash64("doc_id", F.lit(3))).withColumn("b", F.xxhash64("text")).orderBy("a", "b", "doc_id").limit(max_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, samples, label = Ftrl(1 << bits, alpha, beta, l1, l2), [], []
+        model, samples, label, keys = Ftrl(1 << bits, alpha, beta, l1, l2), [], [], []
         for batch in batches:
             label += batch.column(1).to_pylist()
+            keys.append(np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[2:]]))
             for _, _, data, offs in chunks(batch.column(0)):
                 samples += [x.astype(np.int32) for x in row_features(data, offs, bits)]
+        if samples:
+            by = np.lexsort(np.concatenate(keys, axis=1)[::-1])
+            samples, label = [samples[k] for k in by], [label[k] for k in by]
         order = np.random.Generator(np.random.PCG64(1))
         for _ in range(epochs):
             for k in order.permutation(len(samples)):
@@ -95,7 +102,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, *, bits: int = 20, max_ro
         at = np.flatnonzero(model.w)
         yield pa.record_batch([pa.array(at), pa.array(model.w[at])], ["feature", "weight"])
 
-    learned = rows.select("text", "toxic").repartition(1).mapInArrow(run, "feature long, weight double").toPandas().sort_values("feature")
+    learned = rows.select("text", "toxic", "a", "b", "doc_id").repartition(1).mapInArrow(run, "feature long, weight double").toPandas().sort_values("feature")
     feature, weight = learned["feature"].to_numpy(np.int64), learned["weight"].to_numpy(float)
     bias = float(weight[feature == 1 << bits].sum())
     inner = feature < 1 << bits
