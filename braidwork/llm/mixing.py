@@ -6,7 +6,8 @@ distribution over what the sources have still to give; a source's slots, numbere
 run through a pseudorandom permutation of its block numbers, a new one for each pass over the source.
 Slots and blocks are joined by (source, block number).
 
-Only the table of sources (one row each, ``max_sources`` at most) comes to the driver.
+Only the table of sources (one row each, ``max_sources`` at most) comes to the driver; the shards are drawn on
+the executors, each from a seed of its own.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._store import small_batches, stored
@@ -63,25 +64,38 @@ def permuted(index: np.ndarray, n: np.ndarray, seed: np.ndarray) -> np.ndarray:
     return x.astype(np.int64)
 
 
-def draw_shards(blocks: list[int], slots: list[int], shard: int, seed: int) -> Iterator[tuple[int, int, int, int]]:
-    """(shard, source, first slot, slots): multinomial draws by what each source has still to give.
+def draw_shards(spark: SparkSession, slots: list[int], shard: int, seed: int) -> DataFrame:
+    """(shard, k, first, n): how many slots source k has in a shard, and the number of the first among its own.
 
-    A draw above what is left is cut to it and the rest drawn again; so each source ends at its slots.
+    Every shard draws from a multinomial distribution over the slots of the sources, from a seed of its own,
+    in whatever task. Prefix sums over the shards number a source's slots; those beyond its share are cut, and
+    what a source then lacks fills further shards at the end. So each source has just its slots.
     """
-    rng = np.random.Generator(np.random.PCG64(seed))
-    left, given, number = np.array(slots, np.int64), np.zeros(len(slots), np.int64), 0
-    while left.sum():
-        want, got = min(shard, int(left.sum())), np.zeros(len(slots), np.int64)
-        while want:
-            open_ = left - got
-            draw = np.minimum(rng.multinomial(want, open_ / open_.sum()), open_)
-            got += draw
-            want -= int(draw.sum())
-        for k in np.flatnonzero(got):
-            yield number, int(k), int(given[k]), int(got[k])
-        left -= got
-        given += got
-        number += 1
+    total, size = sum(slots), np.array(slots, np.int64)
+    shards = -(-total // shard)
+    held = spark.sparkContext.broadcast(size / max(1, total))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number in batch.column(0).to_pylist():
+                rng = np.random.Generator(np.random.PCG64([seed, number]))
+                got = rng.multinomial(min(shard, total - number * shard), held.value)
+                k = np.flatnonzero(got)
+                yield pa.record_batch([pa.array(np.full(len(k), number)), pa.array(k.astype(np.int32)), pa.array(got[k])], ["shard", "k", "n"])
+
+    tasks = max(1, min(shards, 4096))
+    drawn = stored(spark.range(0, shards, 1, tasks).mapInArrow(run, "shard long, k int, n long").withColumn("run", F.shiftright("shard", 12)))
+    own = spark.createDataFrame([(k, n) for k, n in enumerate(slots) if n] or [], "k int, slots long")
+    sums = drawn.groupBy("k", "run").agg(F.sum("n").alias("m"))
+    base = F.coalesce(F.sum("m").over(Window.partitionBy("k").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.coalesce(F.sum("n").over(Window.partitionBy("k", "run").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = drawn.withColumn("inside", inside).join(sums.select("k", "run", base.alias("base")), ["k", "run"]).join(own, "k")
+    first = F.col("base") + F.col("inside")
+    cut = placed.select("shard", "k", first.alias("first"), F.least("n", F.col("slots") - first).alias("n")).where("n > 0")
+    short = own.join(sums.groupBy("k").agg(F.sum("m").alias("got")), "k", "left").select("k", F.coalesce("got", F.lit(0)).alias("got"), "slots").where("got < slots")
+    pieces = short.select("k", "slots", F.explode(F.sequence("got", F.col("slots") - 1, F.lit(shard).cast("long"))).alias("first"))
+    added = pieces.select((F.lit(shards) + F.col("first") % 64).cast("long").alias("shard"), "k", "first", F.least(F.lit(shard), F.col("slots") - F.col("first")).cast("long").alias("n"))
+    return cut.unionAll(added)
 
 
 def mix_sources(docs: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, block: int = 64, shard: int = 65536, seed: int = 17, max_sources: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
@@ -90,8 +104,10 @@ def mix_sources(docs: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), shar
     By document: doc_id, source, size (words; null or blank text: 0), source_size, target (its
     source's words in the mix, a double), taken (words of it in the mix, repeats counted). Sources are
     ordered by code point, null last, and take the weights in turn. Rows that repeat a doc_id are
-    documents of their own. A slot: shard, slot, source, block; block b of a source is the words
-    [b * block, (b + 1) * block) of its stream. Without words nothing is taken. Reruns agree.
+    documents of their own. A slot: shard, slot, k (the source), block; block b of a source is the words
+    [b * w, (b + 1) * w) of its stream, w being ``block``, or less in a source of under 64 such blocks.
+    No block is used more often than ``most`` rounded up. Without words nothing is taken. Reruns agree,
+    however the rows are dealt to files and tasks.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -104,9 +120,10 @@ def mix_sources(docs: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), shar
     table.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
     names, sizes = [r["source"] for r in table], [r["words"] for r in table]
     aims = targets(sizes, [weights[k % len(weights)] for k in range(len(names))], share, most)
-    blocks = [-(-n // block) for n in sizes]
-    slots = [min(int(most) * b, round(a / n * b)) if n else 0 for a, n, b in zip(aims, sizes, blocks, strict=True)]
-    sources = spark.createDataFrame(list(zip(range(len(names)), names, sizes, aims, blocks, strict=True)), "k int, source string, source_size long, target double, blocks long")
+    wide = [max(1, min(block, n // 64)) for n in sizes]
+    blocks = [-(-n // w) for n, w in zip(sizes, wide, strict=True)]
+    slots = [min(int(most * b), round(a / n * b)) if n else 0 for a, n, b in zip(aims, sizes, blocks, strict=True)]
+    sources = spark.createDataFrame(list(zip(range(len(names)), names, sizes, aims, blocks, wide, strict=True)), "k int, source string, source_size long, target double, blocks long, wide long")
 
     # where each document starts in its source's stream: sums of parts first, then within a part
     before = F.sum("words").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
@@ -114,15 +131,19 @@ def mix_sources(docs: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), shar
     offset = parts.select(F.col("source").alias("s"), F.col("part").alias("p"), F.coalesce(before, F.lit(0)).alias("base"))
     placed = sized.withColumn("inside", F.coalesce(inside, F.lit(0))).join(offset, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p")))
     placed = placed.withColumn("start", F.col("base") + F.col("inside")).join(F.broadcast(sources.withColumnRenamed("source", "s2")) if len(names) <= 10_000 else sources.withColumnRenamed("source", "s2"), F.col("source").eqNullSafe(F.col("s2")))
-    placed = stored(placed.select(F.monotonically_increasing_id().alias("row"), "doc_id", "source", "k", "size", "source_size", "target", "start", "blocks"))
+    placed = stored(placed.select(F.monotonically_increasing_id().alias("row"), "doc_id", "source", "k", "size", "source_size", "target", "start", "wide"))
 
-    span = F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))
-    pieces = placed.where("size > 0").select("row", "k", "start", "size", F.explode(span).alias("block"))
-    words = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - F.greatest("start", F.col("block") * block)
+    span = F.expr("sequence(start div wide, (start + size - 1) div wide)")
+    pieces = placed.where("size > 0").select("row", "k", "start", "size", "wide", F.explode(span).alias("block"))
+    words = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * F.col("wide")) - F.greatest("start", F.col("block") * F.col("wide"))
     pieces = pieces.select("row", "k", "block", words.alias("words"))
 
-    draws = spark.createDataFrame(list(draw_shards(blocks, slots, shard, seed)), "shard long, k int, first long, n long").join(F.broadcast(sources.select("k", "blocks")) if len(names) <= 10_000 else sources.select("k", "blocks"), "k")
-    numbered = draws.repartition(F.col("shard"), F.col("k")).select("shard", "k", "blocks", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("slot"))
+    few = len(names) <= 10_000
+    draws = draw_shards(spark, slots, shard, seed)
+    draws = draws.join(F.broadcast(sources.select("k", "blocks")) if few else sources.select("k", "blocks"), "k")
+    # numbered in as many tasks as the slots need, whatever adaptive execution makes of so few rows
+    draws = draws.repartition(max(1, min(100_000, sum(slots) // 200_000 + 1)), "shard", "k")
+    numbered = draws.select("shard", "k", "blocks", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("slot"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
