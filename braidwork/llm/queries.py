@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import brown_lm, decontamination, language_id, licenses, line_dedup, mixing, nearest, ngram_jaccard, suffix_dedup, toxicity
@@ -14,8 +14,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _part(of: int):
-    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(of))
+def _is_part(k: int, of: int) -> Column:
+    """Whether a row is in part k of the parts that crc32 makes; a null doc_id is in none."""
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(of)) == k, F.lit(False))
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,8 +33,8 @@ def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    model = language_id.train_languages(docs.where(_part(4) != 2))
-    return language_id.predict_languages(docs, model).withColumn("held_out", _part(4) == 2)
+    model = language_id.train_languages(docs.where(~_is_part(2, 4)))
+    return language_id.predict_languages(docs, model).withColumn("held_out", _is_part(2, 4))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,14 +57,14 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    model = toxicity.train_toxicity(docs, _table(spark, sf_dir, "labels").where(_part(3) != 1))
-    return toxicity.score_toxicity(docs, model, least=0.7).withColumn("held_out", _part(3) == 1)
+    model = toxicity.train_toxicity(docs, _table(spark, sf_dir, "labels").where(~_is_part(1, 3)))
+    return toxicity.score_toxicity(docs, model, least=0.7).withColumn("held_out", _is_part(1, 3))
 
 
 def op10_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    model, counts = brown_lm.train_classes(docs.where(_part(10) != 0))
-    return brown_lm.score_texts(docs, model, counts).withColumn("held_out", _part(10) == 0)
+    model, counts = brown_lm.train_classes(docs.where(~_is_part(0, 10)))
+    return brown_lm.score_texts(docs, model, counts).withColumn("held_out", _is_part(0, 10))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
