@@ -32,6 +32,21 @@ def shared_symbols(a: Column, b: Column, symbols: int) -> Column:
     return F.when(a == b, symbols).otherwise(symbols - F.ceil(F.length(apart) / 2)).cast("int")
 
 
+def packed_number(digits: str) -> int:
+    """A string of base-4 digits as a number."""
+    return int(digits, 4) if digits else 0
+
+
 def digits_of(packed: Column, symbols: int) -> Column:
     """A packed sequence as a string of digits."""
     return F.lpad(F.conv(packed.cast("string"), 10, 4), symbols, "0")
+
+
+def letters(seq: Column) -> Column:
+    """Digits as bases ACGT."""
+    return F.translate(seq, "0123", "ACGT")
+
+
+def digits(bases: Column) -> Column:
+    """Bases in either case as digits; other symbols count as A."""
+    return F.translate(F.regexp_replace(F.upper(bases), "[^ACGT]", "A"), "ACGT", "0123")

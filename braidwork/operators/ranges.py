@@ -81,3 +81,15 @@ def split_at_gaps(scaffolds: DataFrame, key: str, seq: str, *, gap: str, least:
     parts = sized.select(key, F.posexplode("z").alias("k", "z")).select(key, (F.col("k") + 1).alias("k"), "z.clen", F.coalesce("z.gap", F.lit(0)).alias("gap"))
     before = Window.partitionBy(key).orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
     return parts.withColumn("sbeg", F.coalesce(F.sum(F.col("clen") + F.col("gap")).over(before), F.lit(0))).where("clen > 0").select(key, "k", "sbeg", "clen")
+
+
+def in_parts(spans: DataFrame, parts: DataFrame, key: str) -> DataFrame:
+    """(key, k, beg, end): spans (key, beg, end) in the coordinates of the parts (key, k, sbeg, clen), disjoint, that hold their starts.
+
+    Spans that begin in no part go. One sort of both together takes the place of an interval join.
+    """
+    marks = parts.select(key, F.col("sbeg").alias("beg"), F.lit(0).alias("kind"), F.struct("k", "sbeg", (F.col("sbeg") + F.col("clen")).alias("stop")).alias("part"))
+    both = spans.withColumn("kind", F.lit(1)).unionByName(marks, allowMissingColumns=True)
+    order = Window.partitionBy(key).orderBy("beg", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    held = both.withColumn("part", F.last("part", ignorenulls=True).over(order)).where("kind = 1 and beg < part.stop")
+    return held.select(key, "part.k", (F.col("beg") - F.col("part.sbeg")).alias("beg"), (F.col("end") - F.col("part.sbeg")).alias("end"))

@@ -26,9 +26,3 @@ def carried(rows: DataFrame, key: str, order: list[str], value: Column, name: st
     """rows with the latest non-null value of an earlier row of the key."""
     before = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return rows.withColumn(name, F.last(value, ignorenulls=True).over(before))
-
-
-def average_rank(key: list[str], by: str) -> Column:
-    """Ranks within key with ties averaged."""
-    w = Window.partitionBy(*key)
-    return F.rank().over(w.orderBy(by)) + (F.count("*").over(Window.partitionBy(*key, by)) - 1) / F.lit(2.0)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.bases import LETTERS, digits_of, reverse_complement
 from ..operators import relational as R
 from ..operators import seeding as S
+from ..operators.order import average_ranks
 from ..sources.sequences import sequences_from_documents, table
 
 _DIGITS = ("0123" * 7)[:26]
@@ -43,10 +44,12 @@ _TO = {"seq": f"with {_SEQ} ", "sel": f"with {_SEQ}, {_POS} ", "rec": f"with {_S
 _BAND = """mx as (select max(length(seq)) x from seqs),
 bd as (select *, case when comp then x - (pos_a - pos_b) else pos_a + pos_b end ad,
   case when comp then 2 * x - (pos_a + pos_b) else x + pos_a - pos_b end diag from s, mx),
-sb as (select ctg_a, ctg_b, comp, diag >> 6 band, ad, diag & 63 dg, plen from bd)"""
-_CHAIN = """bands as (select distinct ctg_a, ctg_b, comp, band from sb),
-x2 as (select ctg_a, ctg_b, comp, band base, ad, dg, 2 * plen w, 1 role from sb
-  union all select s1.ctg_a, s1.ctg_b, s1.comp, s1.band - 1, ad, dg + 64, 2 * plen, 2 from sb s1 semi join bands b
+sb as materialized (select ctg_a, ctg_b, comp, diag >> 6 band, ad, diag & 63 dg, plen from bd)"""
+_CHAIN = """big as materialized (select ctg_a, ctg_b, comp from sb group by all having sum(2 * plen) >= 170),
+sc as materialized (select sb.* from sb semi join big on sb.ctg_a = big.ctg_a and sb.ctg_b = big.ctg_b and sb.comp = big.comp),
+bands as materialized (select distinct ctg_a, ctg_b, comp, band from sc),
+x2 as (select ctg_a, ctg_b, comp, band base, ad, dg, 2 * plen w, 1 role from sc
+  union all select s1.ctg_a, s1.ctg_b, s1.comp, s1.band - 1, ad, dg + 64, 2 * plen, 2 from sc s1 semi join bands b
   on s1.ctg_a = b.ctg_a and s1.ctg_b = b.ctg_b and s1.comp = b.comp and b.band = s1.band - 1),
 r as (select *, max(ad + w) over (partition by ctg_a, ctg_b, comp, base order by ad, role, dg, w rows between unbounded preceding and 1 preceding) pe from x2),
 f as (select *, case when pe is null or ad >= pe + 2000 then 1 else 0 end new from r),
@@ -142,17 +145,21 @@ def imbalance(spark: SparkSession, d: str) -> DataFrame:
 
 def cost_regression(spark: SparkSession, d: str) -> DataFrame:
     x, y = F.col("l_quantity"), F.col("l_extendedprice")
-    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.round(F.regr_slope(y, x), 4).alias("slope"), F.round(F.regr_r2(y, x), 6).alias("r2"), F.round(F.corr(y, x), 6).alias("r"), F.count("*").alias("n"))
+    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.round(F.regr_slope(y, x), 4).alias("slope"), F.round(F.regr_intercept(y, x), 3).alias("intercept"), F.round(F.regr_r2(y, x), 6).alias("r2"), F.round(F.corr(y, x), 6).alias("r"), F.count("*").alias("n"))
 
 
 def spearman_cost(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders").select("o_orderpriority", "o_custkey", "o_totalprice")
-    r = o.withColumn("rx", R.average_rank(["o_orderpriority"], "o_custkey")).withColumn("ry", R.average_rank(["o_orderpriority"], "o_totalprice"))
+    r = average_ranks(average_ranks(o, "o_orderpriority", "o_custkey", "rx"), "o_orderpriority", "o_totalprice", "ry")
     return r.groupBy("o_orderpriority").agg(F.round(F.corr("rx", "ry"), 6).alias("rho"), F.count("*").alias("n"))
 
 
 def topk_tasks(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice").orderBy(F.desc("l_extendedprice"), "l_orderkey", "l_linenumber").limit(12)
+    """The twelve dearest lines and the share of all cost that each has."""
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    top = lines.orderBy(F.desc("l_extendedprice"), "l_orderkey", "l_linenumber").limit(12)
+    whole = lines.agg(F.sum(F.col("l_extendedprice").cast("decimal(18,2)"))).first()[0]
+    return top.withColumn("share", F.round(F.col("l_extendedprice") / F.lit(float(whole or 1)), 9))
 
 
 _SQL = {
@@ -171,9 +178,9 @@ _SQL = {
     "carry_last_call": "select event_id, user_id, last_value(case when event_type = 'click' then event_id end ignore nulls) over (partition by user_id order by epoch_us(ts), event_id rows between unbounded preceding and 1 preceding) last_call from events",
     "bag_diff": "select source, n_left, n_right from (select source, sum(case when lang = 'en' then 1 else 0 end) n_left, sum(case when lang <> 'en' then 1 else 0 end) n_right from documents where lang is not null group by source) where n_left <> n_right",
     "imbalance": "select count(*) workers, max(n) most, min(n) least, round(max(n) / avg(n), 6) max_over_mean, cast(sum(q) as double) total from (select l_suppkey, sum(cast(l_quantity as decimal(18,2))) q, count(*) n from lineitem group by 1)",
-    "cost_regression": "select l_returnflag, round(regr_slope(l_extendedprice, l_quantity), 4) slope, round(regr_r2(l_extendedprice, l_quantity), 6) r2, round(corr(l_extendedprice, l_quantity), 6) r, count(*) n from lineitem group by 1",
+    "cost_regression": "select l_returnflag, round(regr_slope(l_extendedprice, l_quantity), 4) slope, round(regr_intercept(l_extendedprice, l_quantity), 3) intercept, round(regr_r2(l_extendedprice, l_quantity), 6) r2, round(corr(l_extendedprice, l_quantity), 6) r, count(*) n from lineitem group by 1",
     "spearman_cost": "with r as (select o_orderpriority, rank() over (partition by o_orderpriority order by o_custkey) + (count(*) over (partition by o_orderpriority, o_custkey) - 1) / 2.0 rx, rank() over (partition by o_orderpriority order by o_totalprice) + (count(*) over (partition by o_orderpriority, o_totalprice) - 1) / 2.0 ry from orders) select o_orderpriority, round(corr(rx, ry), 6) rho, count(*) n from r group by 1",
-    "topk_tasks": "select l_orderkey, l_linenumber, l_extendedprice from lineitem order by l_extendedprice desc, l_orderkey, l_linenumber limit 12",
+    "topk_tasks": "select l_orderkey, l_linenumber, l_extendedprice, round(l_extendedprice / (select cast(sum(cast(l_extendedprice as decimal(18,2))) as double) from lineitem), 9) share from lineitem order by l_extendedprice desc, l_orderkey, l_linenumber limit 12",
 }
 
 

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import alignment as A
 from ..operators import ranges as G
 from ..operators import relational as R
 from ..operators import seeding as S
+from ..operators.order import lower_medians
 from ..sources.sequences import encoded, sequences_from_documents, table
 from .catalogue import _ENC, _POS, _REC, _SEQ, _bands, _micros, _recs
 
@@ -65,9 +66,9 @@ def kmer_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 
 def median_cost(spark: SparkSession, d: str) -> DataFrame:
-    price = F.col("o_totalprice")
-    middle = F.expr("percentile_disc(0.5) within group (order by o_totalprice)").alias("median")
-    return table(spark, d, "orders").groupBy("o_orderpriority").agg(middle, F.min(price).alias("least"), F.max(price).alias("most"), F.count("*").alias("n"))
+    price, orders = F.col("o_totalprice"), table(spark, d, "orders").select("o_orderpriority", "o_totalprice")
+    ends = orders.groupBy("o_orderpriority").agg(F.min(price).alias("least"), F.max(price).alias("most"), F.count("*").alias("n"))
+    return lower_medians(orders, "o_orderpriority", "o_totalprice").join(ends, "o_orderpriority")
 
 
 def log_cost_model(spark: SparkSession, d: str) -> DataFrame:
@@ -81,10 +82,11 @@ def log_cost_model(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pair_weights(spark: SparkSession, d: str) -> DataFrame:
-    """Unordered pairs of market segments by the product of their customers: few segments, whatever the rows."""
-    size = table(spark, d, "customer").groupBy("c_mktsegment").agg(F.count("*").alias("n"))
-    i, j = size.select(F.col("c_mktsegment").alias("i"), F.col("n").alias("ni")), size.select(F.col("c_mktsegment").alias("j"), F.col("n").alias("nj"))
-    return i.join(j, F.col("i") <= F.col("j")).select("i", "j", (F.col("ni") * F.col("nj")).alias("weight"))
+    """Unordered pairs of scaffolds by the product of their bases, the largest first: few scaffolds, whatever the rows."""
+    size = sequences_from_documents(spark, d).where("scaf is not null").groupBy("scaf").agg(F.sum(F.length("seq").cast("long")).alias("n"))
+    i, j = size.select(F.col("scaf").alias("i"), F.col("n").alias("ni")), size.select(F.col("scaf").alias("j"), F.col("n").alias("nj"))
+    pairs = i.join(j, F.col("i") <= F.col("j")).select("i", "j", (F.col("ni") * F.col("nj")).alias("weight"))
+    return pairs.withColumn("nth", F.row_number().over(Window.orderBy(F.desc("weight"), "i", "j")))
 
 
 def align_overlaps(spark: SparkSession, d: str) -> DataFrame:
@@ -107,7 +109,7 @@ _SQL = {
     "kmer_lookup": f"with {_BOTH}, {_POS}, {_REC}, k as (select kmer, count(*) n from rec where ctg >= 0 group by kmer) select -1 - ctg item_id, count(*) n_kmers, count(n) n_found, cast(coalesce(sum(n), 0) as bigint) n_places from rec left join k using (kmer) where ctg < 0 group by ctg",
     "median_cost": "select o_orderpriority, quantile_disc(o_totalprice, 0.5) median, min(o_totalprice) least, max(o_totalprice) most, count(*) n from orders group by 1",
     "log_cost_model": "with l as (select l_returnflag, ln(l_extendedprice) y, ln(l_quantity) u, ln(l_discount + 1) v from lineitem where l_quantity > 0 and l_extendedprice > 0), s as (select l_returnflag, covar_pop(u, u) uu, covar_pop(v, v) vv, covar_pop(u, v) uv, covar_pop(u, y) uy, covar_pop(v, y) vy, count(*) n from l group by 1) select l_returnflag, round((uy * vv - vy * uv) / (uu * vv - uv * uv), 4) by_quantity, round((vy * uu - uy * uv) / (uu * vv - uv * uv), 4) by_discount, n from s",
-    "pair_weights": "with s as (select c_mktsegment m, count(*) n from customer group by 1) select a.m i, b.m j, a.n * b.n weight from s a join s b on a.m <= b.m",
+    "pair_weights": f"with {_SEQ}, t as (select scaf m, cast(sum(length(seq)) as bigint) n from seqs where scaf is not null group by 1) select a.m i, b.m j, a.n * b.n weight, row_number() over (order by a.n * b.n desc, a.m, b.m) nth from t a join t b on a.m <= b.m",
 }
 
 

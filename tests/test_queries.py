@@ -3,11 +3,12 @@
 import duckdb
 import pytest
 
-from braidwork.plans import catalogue, ranges
+from braidwork.plans import catalogue, ranges, reports
 
-SQL, QUERIES = catalogue.oracle_sql() | ranges.oracle_sql(), catalogue.queries() | ranges.queries()
+SQL = catalogue.oracle_sql() | ranges.oracle_sql() | reports.oracle_sql()
+QUERIES = catalogue.queries() | ranges.queries() | reports.queries()
 DATA = "/root/testdata/sf0.001"
-TABLES = "documents events lineitem orders customer conversations benchmark".split()
+TABLES = "documents events lineitem orders customer conversations benchmark part".split()
 
 
 def rows(frame):
