@@ -4,7 +4,8 @@ Each language has a codeword; each bit is a binary problem, some languages again
 classifier is linear in the counts of a text's byte n-grams (1 to 4, hashed), with the log-odds of the
 n-grams on the two sides as weights. A text's bits are decoded by loss: each codeword sums the logistic
 losses of the bit margins, each bit weighted by how well it did in training, and the least loss wins.
-If the runner-up is within ``close`` of it, the text is flagged as ambiguous.
+A text is flagged as ambiguous if the runner-up is within ``close`` of it by the mean evidence of an n-gram
+(a text of two languages), or within ``faint`` by all its evidence (too short to tell).
 
 Training counts n-grams by language over all the labelled rows; only these counts (languages times
 ``buckets``) reach the driver.
@@ -19,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
 from ._store import small_batches
 from ._text import FOLDED_HASH, chunks
@@ -135,30 +137,34 @@ def decode(model: LanguageModel, margins: np.ndarray) -> tuple[np.ndarray, np.nd
     return loss, gain / gain.sum(axis=1, keepdims=True)
 
 
-def predict_languages(docs: DataFrame, model: LanguageModel, *, close: float = 0.05, scale: float = 0.1) -> DataFrame:
-    """docs (doc_id, text) to (doc_id, lang_pred, score, ambiguous), row by row.
+def with_languages(docs: DataFrame, model: LanguageModel, *, close: float = 0.02, faint: float = 0.5, scale: float = 0.1, prefix: str = "") -> DataFrame:
+    """docs (text, any others) with lang_pred, score and ambiguous after its columns, row by row; prefix: of their names.
 
-    A null text, or one without a letter, is ``und`` with score 0; so is every text if nothing was
-    learned. Letters are Unicode letters. scale: the weight of one n-gram's evidence, as n-grams of
-    a text overlap.
+    A null text, or one without a letter, is ``und`` with score 0 and not ambiguous; so is every text if nothing
+    was learned. Letters are Unicode letters. scale: the weight of one n-gram's evidence in score, as n-grams of a
+    text overlap. Rows that repeat each get a row; an empty table gives an empty result. The names with the prefix
+    must be free.
     """
     spark = docs.sparkSession
     small_batches(spark)
     held = spark.sparkContext.broadcast(model)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(F.col("text").rlike(r"\p{L}"), F.col("text")).alias("text"))
+    names = [*docs.columns, f"{prefix}lang_pred", f"{prefix}score", f"{prefix}ambiguous"]
+    rows = docs.withColumn(names[-1], F.when(F.col("text").rlike(r"\p{L}"), F.col("text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: LanguageModel = held.value
         table = np.ascontiguousarray(m.weight.T)
         for batch in batches:
-            known = batch.column(1).is_valid().to_numpy(zero_copy_only=False) & bool(m.languages)
-            margins = np.zeros((len(batch), m.code.shape[1]))
-            for i, j, data, offs in chunks(batch.column(1)):
+            text = batch.column(batch.num_columns - 1)
+            known = text.is_valid().to_numpy(zero_copy_only=False) & bool(m.languages)
+            margins, grams = np.zeros((len(batch), m.code.shape[1])), np.zeros(len(batch))
+            for i, j, data, offs in chunks(text):
                 for k, g in enumerate(features(data, m.buckets)):
                     # sums of table rows by text, through counts of buckets: a text's n-grams never cross its end
                     for row in range(i, j):
                         a, b = offs[row - i], offs[row - i + 1] - k
                         if b > a:
+                            grams[row] += b - a
                             if b - a < 2048:
                                 margins[row] += table[g[a:b]].sum(axis=0)
                             else:
@@ -166,11 +172,33 @@ def predict_languages(docs: DataFrame, model: LanguageModel, *, close: float = 0
             loss, share = decode(m, margins * scale)
             best = loss.argmin(axis=1)
             score = share[np.arange(len(best)), best]
-            second = np.partition(loss, 1, axis=1)[:, 1] - loss.min(axis=1) if loss.shape[1] > 1 else np.full(len(best), np.inf)
-            names = np.array([*m.languages, "und"], object)
-            yield pa.record_batch(
-                [batch.column(0), pa.array(names[np.where(known, best, len(m.languages))].tolist(), pa.string()), pa.array(np.where(known, score, 0.0)), pa.array(known & (second < close))],
-                ["doc_id", "lang_pred", "score", "ambiguous"],
-            )
-
-    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double, ambiguous boolean")
+            vague = (_lead(loss) < faint) | (_lead(decode(m, margins / np.maximum(grams, 1)[:, None])[0]) < close)
+            told = np.array([*m.languages, "und"], object)[np.where(known, best, len(m.languages))]
+            yield pa.record_batch([*batch.columns[:-1], pa.array(told.tolist(), pa.string()), pa.array(np.where(known, score, 0.0)), pa.array(known & vague)], names)
+
+    schema = StructType([*docs.schema, StructField(names[-3], StringType()), StructField(names[-2], DoubleType()), StructField(names[-1], BooleanType())])
+    return rows.mapInArrow(run, schema)
+
+
+def _lead(loss: np.ndarray) -> np.ndarray:
+    """By how much the least loss of each row is less than the next."""
+    return np.partition(loss, 1, axis=1)[:, 1] - loss.min(axis=1) if loss.shape[1] > 1 else np.full(len(loss), np.inf)
+
+
+def predict_languages(docs: DataFrame, model: LanguageModel, **options) -> DataFrame:
+    """docs (doc_id, text) to (doc_id, lang_pred, score, ambiguous), row by row: see with_languages. Other columns are ignored."""
+    return with_languages(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model, **options).drop("text")
+
+
+def keep_told(docs: DataFrame, model: LanguageModel, *, wanted: list[str] | None = None, **options) -> DataFrame:
+    """docs without the rows whose language can't be told (``und``, ambiguous) or isn't wanted (None: any that was learned).
+
+    If nothing was learned, rows with a letter stay. Each row is judged by its own text; columns stay as they are.
+    """
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    told = with_languages(docs, model, prefix="braid_", **options)
+    keep = (F.col("braid_lang_pred") != "und") & ~F.col("braid_ambiguous")
+    if wanted is not None:
+        keep &= F.col("braid_lang_pred").isin(wanted)
+    return told.where(keep).drop("braid_lang_pred", "braid_score", "braid_ambiguous")
