@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import small_batches, stored
+from ._store import only, small_batches, stored
 from ._text import Words, chunks, join_hashes, mix
 
 K1, B_LEN = 1.2, 0.75
@@ -269,5 +269,5 @@ def _all_grams(hashes: np.ndarray, width: int) -> np.ndarray:
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """docs without the documents that hold a test item; rows with a null doc_id stay."""
-    return docs.join(stored(benchmark_overlaps(docs, items, **options).select("doc_id").distinct()), "doc_id", "left_anti")
+    """docs without the documents that hold a test item: all rows of their doc_id. Rows with a null doc_id stay."""
+    return only(docs, stored(benchmark_overlaps(docs, items, **options).select("doc_id").distinct()), "doc_id", out=True)

@@ -75,6 +75,32 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in found}
 
 
+_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+_SQL = {
+    "op1_ngram_jaccard_join": f"""with recursive w as (select doc_id, coalesce({_WORDS}, []) w from documents),
+s as (select distinct doc_id, case when len(w) < 4 then array_to_string(w, ' ') else array_to_string(w[i:i + 3], ' ') end x
+  from (select doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) i from w where len(w) > 0)),
+n as (select doc_id, count(*) n from s group by 1),
+c as (select a.doc_id a, b.doc_id b, count(*) c from s a join s b on a.x = b.x and a.doc_id < b.doc_id group by all),
+l as (select a, b from c join n p on a = p.doc_id join n q on b = q.doc_id where 100 * c >= 85 * (p.n + q.n - c)),
+sym as (select a, b from l union all select b, a from l),
+r as (select doc_id d, doc_id m from w union select sym.b, r.m from r join sym on r.d = sym.a)
+select w.doc_id, coalesce(n.n, 0) n_shingles, (select min(m) from r where d = w.doc_id) component_id from w left join n using (doc_id)""",
+    "op3_suffix_array_dedup": """with t as (select doc_id, coalesce(hex(encode(text)), '') h, coalesce(octet_length(encode(text)), 0) n from documents),
+blocks as (select doc_id, n, k * 512 beg, substr(h, k * 1024 + 1, 1222) p from (select *, unnest(range(0, n // 512 + 1)) k from t)),
+win as (select doc_id, beg + i i, substr(p, 2 * i + 1, 200) x from (select *, unnest(range(0, least(512, n - 99 - beg))) i from blocks where n - 99 > beg)),
+late as (select doc_id, i from (select doc_id, i, row_number() over (partition by x order by doc_id, i) k from win) where k > 1),
+isle as (select *, sum(case when was is null or i > was + 100 then 1 else 0 end) over (partition by doc_id order by i rows unbounded preceding) g
+  from (select *, lag(i) over (partition by doc_id order by i) was from late)),
+span as (select doc_id, min(i) b, max(i) + 100 e from isle group by doc_id, g),
+cut as (select doc_id, b, e from span union all select doc_id, n, n from t),
+kept as (select doc_id, coalesce(lag(e) over (partition by doc_id order by b, e), 0) f, b from cut),
+part as (select doc_id, string_agg(substr(h, 2 * f + 1, 2 * (b - f)), '' order by f) k from kept join t using (doc_id) group by 1),
+gone as (select doc_id, sum(e - b) r, count(*) c from span group by 1)
+select doc_id, cast(n as bigint) n_bytes, cast(coalesce(r, 0) as bigint) n_removed, coalesce(c, 0) n_spans, sha256(unhex(k)) kept_sha256 from t join part using (doc_id) left join gone using (doc_id)""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    """None of these is SQL: they learn models, draw at random or walk links. tests/llm holds them to brute force."""
-    return {}
+    """Of the queries that SQL can express; the others learn models, draw at random or align: tests/llm holds them to brute force."""
+    return dict(_SQL)

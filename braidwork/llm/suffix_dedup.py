@@ -76,7 +76,8 @@ def sorted_suffixes(texts: list[np.ndarray], cap: int) -> tuple[np.ndarray, np.n
     gap = np.zeros(1, np.uint8)  # one place after each text, where its empty suffix stands
     flat = np.concatenate([y for x in texts for y in (x, gap)] or [gap])
     off = np.concatenate([[0], np.cumsum(size + 1)[:-1]]) if count else size
-    ends = (np.arange(count, dtype=np.int32), (off + size).astype(np.int32), np.zeros(count, np.uint8))
+    short = np.uint8 if cap < 256 else np.int32
+    ends = (np.arange(count, dtype=np.int32), (off + size).astype(np.int32), np.zeros(count, short))
     who, at, lcp = ends  # at: where the suffix begins in flat
     before = np.concatenate([gap, flat[:-1]])
     closed = np.zeros(len(flat), bool)  # starts of texts have no symbol before them
@@ -87,7 +88,7 @@ def sorted_suffixes(texts: list[np.ndarray], cap: int) -> tuple[np.ndarray, np.n
         order = np.argsort(symbol, kind="stable")
         old, symbol = open_[order], symbol[order]
         same = np.flatnonzero(symbol[1:] == symbol[:-1])
-        new = np.zeros(len(old), np.uint8)
+        new = np.zeros(len(old), short)
         if len(same):
             new[same + 1] = np.minimum(_least(lcp, old[same] + 1, old[same + 1]), cap - 1) + 1
         who, at, lcp = np.concatenate([ends[0], who[old]]), np.concatenate([ends[1], at[old] - 1]), np.concatenate([ends[2], new])
@@ -169,8 +170,11 @@ def repeated_spans(docs: DataFrame, *, length: int = 100, gram: int = 32, crowd:
     A byte goes if a string of ``length`` bytes over it also starts earlier: at a smaller doc_id, or
     earlier in the same. Rows that repeat a doc_id stand at the same place, so equal strings at the
     same start of them aren't earlier than each other; each is cut for itself. A null doc_id comes first.
-    Texts shorter than length have no spans.
+    Texts shorter than length have no spans. 1 <= gram <= length <= 1000; an empty table gives no spans, other
+    columns are ignored, whatever their names.
     """
+    if not 1 <= gram <= length <= 1000:
+        raise ValueError("1 <= gram <= length <= 1000 is needed")
     small_batches(docs.sparkSession)
     place = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
     texts = docs.select(row_key().alias("row"), place.alias("doc_id"), F.col("text").cast("binary").alias("text")).where(F.octet_length("text") >= length)
