@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from braidwork.llm import brown_lm, decontamination, language_id, licenses, line_dedup, mixing, nearest, ngram_jaccard, suffix_dedup, toxicity
+from braidwork.llm._text import Words
 
 SCHEMA = "doc_id long, text string, source string, lang string, key long, row int"
 
@@ -282,17 +283,36 @@ def test_toxicity_learns_marked_words(spark, docs):
 def test_language_model_base_and_sum_to_one(spark, docs, empty):
     rows = corpus()
     train = [t for k, t, *_ in rows if k % 5]
-    model, counts = brown_lm.train_classes(docs.where("doc_id % 5 <> 0"), units=20, tails=4, classes=6, frequent=50)
+    model, grouped = brown_lm.train_classes(docs.where("doc_id % 5 <> 0"), units=20, classes=6, frequent=50)
+    table = {r.word: (r.n, r.cls) for r in grouped.collect()}
+    name = lambda w: int(Words(np.frombuffer(w, np.uint8), np.array([0, len(w)])).hash.view(np.int64)[0])
     seen = Counter(w for t in train for w in [*tokens(t), None])
     total, kinds = sum(seen.values()), len(seen)
-    got = {r.doc_id: r for r in brown_lm.score_texts(docs, model, counts).collect()}
+    assert len(table) == kinds - 1 and all(table[name(w)][0] == n and 0 < table[name(w)][1] < 6 for w, n in seen.items() if w)
+    pairs = Counter()
+    for t in train:
+        line = [0, *(table[name(w)][1] for w in tokens(t)), 0]
+        pairs.update(zip(line, line[1:], strict=False))
+    follow = np.array([[pairs[a, b] for b in range(6)] for a in range(6)], float)
+    alone = (follow.sum(axis=0) + 0.5) / (follow.sum() + 3)
+    varied = np.maximum((follow > 0).sum(axis=1, keepdims=True), 1)
+    assert np.allclose(10**model.transition, (follow + varied * alone) / (follow.sum(axis=1, keepdims=True) + varied))
+    got = {r.doc_id: r for r in brown_lm.score_texts(docs, model, grouped).collect()}
     for k, t, *_ in rows:
         w = [*tokens(t), None]
         base = sum(math.log10((seen[x] + 0.1) / (total + 0.1 * (kinds + 1))) for x in w)
         assert abs(got[k].base_score - base) < 1e-6 and (got[k].n_tokens, got[k].n_known, got[k].train_tokens) == (len(w), sum(seen[x] > 0 for x in w), total)
-        assert got[k].score < 0
-    assert np.allclose((10**model.transition).sum(axis=1), 1)
-    assert brown_lm.score_texts(empty, model, counts).count() == 0
+        known = [(seen[None], 0) if x is None else table.get(name(x), (0, model.unseen)) for x in w]
+        line = [0, *(c for _, c in known)]
+        want = sum(model.transition[a, b] + math.log10(n + 0.1) - model.emit[b] for (n, b), a in zip(known, line, strict=False))
+        assert abs(got[k].score - want) < 1e-6
+    # the words of a class, the unseen one among them, share all its probability
+    for c in range(1, 6):
+        mass = sum(n + 0.1 for n, cls in table.values() if cls == c) + 0.1 * (c == model.unseen)
+        assert not mass or abs(mass / 10 ** model.emit[c] - 1) < 1e-9
+    assert brown_lm.score_texts(empty, model, grouped).count() == 0
+    none, nothing = brown_lm.train_classes(empty)
+    assert all(np.isfinite(r.score) and r.n_known == 0 for r in brown_lm.score_texts(docs, none, nothing).collect())
 
 
 def test_pipeline_keeps_clean_documents(spark):
