@@ -12,11 +12,12 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told: those predicted ``und`` (no letter, null text) go."""
-    model = language_id.train_languages(docs)
-    rejected = stored(language_id.predict_languages(docs, model).where("lang_pred = 'und'").select("doc_id").distinct())
-    named = docs.join(rejected.where("doc_id is not null"), "doc_id", "left_anti")
-    return named.where(F.col("text").rlike(r"\p{L}")).select(COLUMNS)
+    """Documents whose language the model, learned from their own labels, can tell.
+
+    Rows with a null or letterless text go, and those that it finds ambiguous: of two languages in equal parts, or
+    too short to tell. Rows are judged one by one, whatever their doc_id; without any label all lettered rows stay.
+    """
+    return language_id.keep_told(docs, language_id.train_languages(docs)).select(COLUMNS)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
