@@ -1,7 +1,8 @@
 """Benchmark decontamination: BM25 over an inverted index of test items, searched by block-max WAND.
 
 The index holds the test items; the queries are the passages of every training text, windows of
-``window`` words that overlap by half. An item's BM25 impacts are divided by its score against itself,
+``window`` words that overlap by half. Items of more than half a window are searched with windows of twice,
+four times, ... the length, in which they lie whole; so no item changes another's passages. An item's BM25 impacts are divided by its score against itself,
 so a threshold is a share of the item. All items of a passage above it are retrieved, and the item's
 question and answer are then looked for in the document, exactly, as word shingles.
 
@@ -217,8 +218,7 @@ def benchmark_overlaps(docs: DataFrame, items: DataFrame, *, window: int = 128,
     tests = stored(items.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct())
     said = tests.mapInArrow(words_of, "item_id long, word long")
     by_item = said.groupBy("item_id").agg(F.count("*").alias("n"))
-    number, total, longest = by_item.agg(F.count("*"), F.sum("n"), F.max("n")).first()
-    window = max(window, 2 * (longest or 0))  # an item lies whole in a window
+    number, total = by_item.agg(F.count("*"), F.sum("n")).first()
     out = None
     if number:
         df = stored(said.distinct().groupBy("word").agg(F.count("*").alias("df")))
@@ -228,7 +228,11 @@ def benchmark_overlaps(docs: DataFrame, items: DataFrame, *, window: int = 128,
             rows = [(r[0], r[1]) for r in part.collect()]
             seen = part.mapInArrow(words_of, "item_id long, word long").select("word").distinct()
             idf = {r[0] & (2**64 - 1): float(np.log1p((number - r[1] + 0.5) / (r[1] + 0.5))) for r in df.join(seen, "word").collect()}
-            found = _search_shard(docs, spark.sparkContext.broadcast(build_index(rows, idf, total / number, width)), window, least, overlap, width)
+            by_window: dict[int, list] = {}
+            for r in rows:
+                by_window.setdefault(window_of(len(_words(r[1])), window), []).append(r)
+            held = [(w, build_index(x, idf, total / number, width)) for w, x in sorted(by_window.items())]
+            found = _search_shard(docs, spark.sparkContext.broadcast(held), least, overlap, width)
             out = found if out is None else out.unionAll(found)
     if out is None:
         return spark.createDataFrame([], _SCHEMA)
@@ -238,9 +242,18 @@ def benchmark_overlaps(docs: DataFrame, items: DataFrame, *, window: int = 128,
 _SCHEMA = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
 
 
-def _search_shard(docs: DataFrame, index, window: int, least: float, overlap: float, width: int) -> DataFrame:
+def window_of(n: int, window: int) -> int:
+    """The passage length for an item of n words: window, doubled until the item takes half of it at most."""
+    while 2 * n > window:
+        window *= 2
+    return window
+
+
+def _search_shard(docs: DataFrame, held, least: float, overlap: float, width: int) -> DataFrame:
+    """The rows of _SCHEMA for a shard, held as (window, index) of each passage length."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: Index = index.value
+        indexes: list[tuple[int, Index]] = [x for x in held.value if len(x[1].items)]
         share = lambda part, whole: float(np.isin(part, whole, assume_unique=True).mean()) if len(part) else 1.0
         for batch in batches:
             ids, rows = batch.column(0).to_pylist(), []
@@ -248,14 +261,15 @@ def _search_shard(docs: DataFrame, index, window: int, least: float, overlap: fl
                 words = Words(data, offs)
                 for row in range(i, j):
                     hashes = words.hash[words.first[row - i] : words.first[row - i + 1]]
-                    if not len(hashes) or not len(own.items):
-                        continue
-                    found = search_text(own, hashes, window, least)
-                    grams = _all_grams(hashes, width) if found else None
-                    for item, score in sorted(found.items()):
-                        q, a = share(own.question[item], grams), share(own.answer[item], grams)
-                        if q >= overlap and a >= overlap:
-                            rows.append((ids[row], int(own.items[item]), score, q, a))
+                    grams = None
+                    for window, own in indexes if len(hashes) else ():
+                        found = search_text(own, hashes, window, least)
+                        if found and grams is None:
+                            grams = _all_grams(hashes, width)
+                        for item, score in sorted(found.items()):
+                            q, a = share(own.question[item], grams), share(own.answer[item], grams)
+                            if q >= overlap and a >= overlap:
+                                rows.append((ids[row], int(own.items[item]), score, q, a))
             if rows:
                 yield pa.record_batch([pa.array(x) for x in zip(*rows, strict=True)], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
 

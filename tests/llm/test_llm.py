@@ -246,7 +246,9 @@ def test_licenses_are_found_whole_wrapped_and_in_part():
     for name, text in licenses.TEXTS.items():
         lines = text.rstrip().split("\n")
         got = scan("Some words.\n\n" + "\n".join(lines) + "\n\nThe end.")
-        assert all(x[2:] == (name, True) for x in got) and sum(x[1] - x[0] + 1 for x in got) >= 0.9 * len(lines), (name, got)
+        # two licences of one author may begin with the same notice
+        assert all(x[3] for x in got) and sum(x[1] - x[0] + 1 for x in got if x[2] == name) >= 0.9 * len(lines), (name, got)
+    assert len(licenses.TEXTS) >= 10
     mit = licenses.TEXTS["MIT"].split("\n\n")
     assert scan(mit[0].replace("\n", " ")) == [(0, 0, "MIT", True)] and scan("Copyright (c) 2020 A B\n\n" + mit[0])[-1] == (2, 7, "MIT", True)
     apache = licenses.TEXTS["Apache-2.0"]
