@@ -18,6 +18,7 @@ from ..store import stored
 from .ranges import mask_ahead
 
 HALF = KMER // 2  # bases of hi and of lo
+STRIDE = 256  # antidiagonals between anchors of a chain
 _ORDER = ["hi", "lo", "ctg", "place"]
 
 
@@ -273,7 +274,7 @@ def banded(found: DataFrame, longest: int) -> DataFrame:
 def chains(with_bands: DataFrame) -> DataFrame:
     """Chains of seeds of a pair of contigs over two neighbouring bands, broken by antidiagonal gaps.
 
-    anchor is the longest seed (its ad and dg negated: the first of ties).
+    anchors: the longest seed (the first of ties) in each STRIDE of antidiagonals, in order.
     """
     key = ["ctg_a", "ctg_b", "comp"]
     s = with_bands.select(*key, "band", "ad", "dg", (2 * F.col("plen")).alias("w"))
@@ -289,11 +290,14 @@ def chains(with_bands: DataFrame) -> DataFrame:
     x = x.withColumn("pe", F.max(F.col("ad") + F.col("w")).over(before))
     x = x.withColumn("new", F.when(F.col("pe").isNull() | (F.col("ad") >= F.col("pe") + CHAIN_BREAK), 1).otherwise(0))
     x = x.withColumn("cid", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    stride = Window.partitionBy(*key, "base", "cid", F.floor(F.col("ad") / STRIDE)).orderBy(F.desc("w"), "ad", "dg")
+    x = x.withColumn("lead", F.row_number().over(stride) == 1)
     cover = F.when(F.col("new") == 1, F.col("w")).otherwise(F.greatest(F.lit(0), F.col("ad") + F.col("w") - F.greatest("ad", "pe")))
     g = x.groupBy(*key, "base", "cid").agg(
         F.min("ad").alias("alow"), F.max(F.col("ad") + F.col("w")).alias("ahgh"), F.min("dg").alias("dlow"), F.max("dg").alias("dhgh"),
         F.bit_or("role").alias("mix"), F.sum(cover).alias("cov"), F.bool_or((F.col("role") == 1) & F.col("below")).alias("below"),
-        F.max(F.struct("w", (-F.col("ad")).alias("ad"), (-F.col("dg")).alias("dg"))).alias("anchor"),
+        F.collect_list(F.when(F.col("lead"), F.struct("ad", "dg", "w"))).alias("anchors"),
     )
     # a chain of one band's own seeds only is kept where no band lies below: else that one holds it too
-    return g.where((F.col("cov") >= CHAIN_MIN) & ((F.col("mix") != 1) | ~F.col("below"))).drop("below")
+    kept = g.where((F.col("cov") >= CHAIN_MIN) & ((F.col("mix") != 1) | ~F.col("below"))).drop("below")
+    return kept.withColumn("anchors", F.array_sort("anchors"))

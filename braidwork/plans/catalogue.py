@@ -115,7 +115,7 @@ def pair_task_features(spark: SparkSession, d: str) -> DataFrame:
 
 
 def seed_chains(spark: SparkSession, d: str) -> DataFrame:
-    return S.chains(_bands(spark, d)).drop("anchor")
+    return S.chains(_bands(spark, d)).drop("anchors")
 
 
 def near_duplicate_pairs(spark: SparkSession, d: str) -> DataFrame:

@@ -92,7 +92,7 @@ def pair_weights(spark: SparkSession, d: str) -> DataFrame:
 def align_overlaps(spark: SparkSession, d: str) -> DataFrame:
     contigs = sequences_from_documents(spark, d)
     longest = contigs.agg(F.max(F.length("seq"))).first()[0] or 0
-    return A.drop_redundant(A.align_chains(S.chains(_bands(spark, d)), contigs, longest))
+    return A.drop_redundant(A.fuse_paths(A.align_chains(S.chains(_bands(spark, d)), contigs, longest))).drop("trace")
 
 
 _EV = "ev as (select user_id, event_id, event_type, epoch_us(ts) b, epoch_us(ts) + cast(floor(coalesce(value, 0) * 60000000) as bigint) e from events)"
