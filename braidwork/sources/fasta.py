@@ -30,10 +30,23 @@ def masks_of(scaffolds: DataFrame) -> DataFrame:
 
 
 def write_kmers(recs: DataFrame, path: str) -> None:
-    """Records as lines ``ctg pos strand kmer``, the k-mer packed into hexadecimal, two bits a base."""
+    """Records as lines ``ctg pos strand kmer``, the k-mer packed into hexadecimal, two bits a base; with lcp before it if they have one."""
     digit = lambda k: F.expr(f"hex(cast(substring(kmer, {k}, 1) as int) * 4 + cast(substring(kmer, {k + 1}, 1) as int))")
     packed = F.lower(F.concat(*(digit(k) for k in range(1, 41, 2))))
-    recs.select(F.concat_ws(" ", "ctg", "pos", "strand", packed)).write.text(path)
+    fields = ["ctg", "pos", "strand", *(["lcp"] if "lcp" in recs.columns else [])]
+    recs.select(F.concat_ws(" ", *fields, packed)).write.text(path)
+
+
+def read_kmers(spark: SparkSession, path: str) -> DataFrame:
+    """(ctg, pos, strand, lcp, kmer) of lines that write_kmers wrote, k-mers as digits; lcp is null where lines have none."""
+    part = F.split(F.trim("value"), r"\s+")
+    n = F.size(part)
+    code = F.element_at(part, n)
+    two = lambda x: F.lpad(F.conv(x, 16, 4), 2, "0")
+    kmer = F.array_join(F.transform(F.regexp_extract_all(code, F.lit("([0-9a-fA-F])"), 1), two), "")
+    rows = spark.read.text(path).where("trim(value) <> ''").select(part.alias("part"), n.alias("n"), kmer.alias("kmer"))
+    at = lambda k, kind: F.element_at("part", k).cast(kind)
+    return rows.select(at(1, "long").alias("ctg"), at(2, "int").alias("pos"), at(3, "int").alias("strand"), F.when(F.col("n") == 5, at(4, "int")).alias("lcp"), "kmer")
 
 
 def write_paf(overlaps: DataFrame, path: str, names: DataFrame | None = None) -> None:
