@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import small_batches, stored
+from ._store import only, small_batches, stored
 from ._text import BYTE_HASH, SPACE, chunks, mix, prefix_hash, runs, span_hash
 
 _BREAK = np.zeros(256, bool)
@@ -127,15 +127,19 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
 
     table = stored(docs.select("row", F.col("doc_id").cast("long"), "text").mapInArrow(read, "row long, doc_id long, whole long, lines array<long>"))
     order = F.struct("doc_id", "row")
-    lead = table.where(F.size("lines") > 0).groupBy("whole").agg(F.min(order).alias("lead"))
+    # stored, so that adaptive execution can split the join at a very large class
+    lead = stored(table.where(F.size("lines") > 0).groupBy("whole").agg(F.min(order).alias("lead")))
     led = stored(table.where(F.size("lines") > 0).join(lead, "whole").withColumn("first", F.col("lead.row") == F.col("row")))
     leaders = led.where("first").select("row", "doc_id", "lines")
 
     occur = leaders.select("row", "doc_id", F.explode(F.array_distinct("lines")).alias("line")).where("line <> 0")
     # stored, so that adaptive execution can split the join at a very common line
     held = stored(occur.groupBy("line").agg(F.count("*").alias("df"), F.min(order).alias("lead")).where("df > 1").select("line", F.col("lead.row").alias("partner")))
-    pairs = occur.select("row", "line").join(held, "line").where("partner <> row").select("row", "partner").distinct()
-    both = pairs.join(leaders.select("row", F.col("lines").alias("later")), "row").join(leaders.select(F.col("row").alias("partner"), F.col("lines").alias("earlier")), "partner")
+    pairs = stored(occur.select("row", "line").join(held, "line").where("partner <> row").select("row", "partner").distinct())
+    later = only(leaders.select("row", F.col("lines").alias("later")), pairs.select("row"), "row")
+    earlier = only(leaders.select(F.col("row").alias("partner"), F.col("lines").alias("earlier")), pairs.select("partner"), "partner")
+    # merged by key at every size: the arrays are too many to broadcast, however few they are in a small table
+    both = pairs.hint("merge").join(later, "row").hint("merge").join(earlier, "partner")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,14 +154,21 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
 
 
 def drop_repeated_lines(docs: DataFrame) -> DataFrame:
-    """docs with the repeated lines cut out of text, and n_lines, n_removed (null text stays null)."""
+    """docs with the repeated lines cut out of text, and n_lines, n_removed (null text stays null).
+
+    Columns of these two names are replaced; all others stay, but none may begin with ``braid_``. A document that
+    loses all its lines keeps its row with an empty text. See repeated_lines for what is cut.
+    """
     # stored with a number for each row, by which the decision goes back: a doc_id may repeat
     mine = stored(docs.withColumn("braid_row", F.monotonically_increasing_id()))
     decided = repeated_lines(mine.select(F.col("braid_row").alias("row"), "doc_id", "text")).where(F.size("drop") > 0)
-    joined = mine.join(decided.select(F.col("row").alias("braid_row"), F.col("drop").alias("braid_drop")), "braid_row", "left")
+    decided = stored(decided.select(F.col("row").alias("braid_row"), F.col("drop").alias("braid_drop")))
+    # only the texts of rows that lose lines are shuffled
+    cut = only(mine, decided.select("braid_row"), "braid_row").hint("merge").join(decided, "braid_row")
+    whole = only(mine, decided.select("braid_row"), "braid_row", out=True).withColumn("braid_drop", F.lit(None).cast("array<int>"))
     lines = F.when(F.length("text") > 0, F.split("text", "\n", -1)).otherwise(F.array().cast("array<string>"))
     keep = F.filter(lines, lambda _, k: ~F.array_contains("braid_drop", k))
     text = F.when(F.col("text").isNull() | F.col("braid_drop").isNull(), F.col("text")).otherwise(F.array_join(keep, "\n"))
-    removed = F.coalesce(F.size("braid_drop"), F.lit(0))
-    columns = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
-    return joined.select(*columns, text.alias("text"), F.size(lines).alias("n_lines"), removed.alias("n_removed"))
+    columns = [F.col(f"`{c}`") for c in docs.columns if c not in ("text", "n_lines", "n_removed")]
+    made = (text.alias("text"), F.size(lines).alias("n_lines"), F.coalesce(F.size("braid_drop"), F.lit(0)).alias("n_removed"))
+    return cut.select(*columns, *made).unionByName(whole.select(*columns, *made))
