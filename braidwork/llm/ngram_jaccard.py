@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._graph import components
-from ._store import only, small_batches, stored
+from ._store import cleared, only, small_batches, stored
 from ._text import Words, chunks, join_hashes, mix, set_hash, shingles
 
 RATIO = 1.5  # of the upper and lower size of a band
@@ -386,6 +386,7 @@ def jaccard_links(docs: DataFrame, *, width: int = 5, num: int = 80, den: int =
     groups = met.where(F.col("n") <= hot).select(columns).unionAll(kept.select(columns)).dropDuplicates(["members", "set_id"])
     sets = made.where("set_id is not null and doc_id is not null").select("set_id", "n_shingles", "bits").dropDuplicates(["set_id"])
     groups = stored(thinned(groups, sets, num, den, group_limit))
+    cleared(met)
 
     # buckets that share sets are searched together, so that a set's shingles go there once; where they
     # are too many, the buckets of such a family are dealt out by hash
@@ -405,7 +406,9 @@ def jaccard_links(docs: DataFrame, *, width: int = 5, num: int = 80, den: int =
                 yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     dealt = _with_items(docs, asked, width).repartition("deal").sortWithinPartitions("deal")
-    return by_doc, stored(dealt.mapInArrow(search, "a long, b long").distinct())
+    links = stored(dealt.mapInArrow(search, "a long, b long").distinct())
+    cleared(groups, asked)
+    return by_doc, links
 
 
 def link_components(docs: DataFrame, **options) -> DataFrame:
@@ -418,9 +421,12 @@ def link_components(docs: DataFrame, **options) -> DataFrame:
     """
     by_doc, links = jaccard_links(docs, **options)
     reach = components(links)
-    named = by_doc.join(reach, by_doc.set_id == reach.node, "left").select("doc_id", "n_shingles", F.coalesce("component", "set_id").alias("group"))
-    least = named.where("group is not null").groupBy("group").agg(F.min("doc_id").alias("least"))
-    return named.join(least, "group", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+    sets = by_doc.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("least"))
+    # stored, so that the joins after them are of plain tables, which adaptive execution splits at a large group
+    sets = stored(sets.join(reach, sets.set_id == reach.node, "left").select("set_id", F.coalesce("component", "set_id").alias("group"), "least"))
+    least = stored(sets.groupBy("group").agg(F.min("least").alias("component_id")))
+    named = stored(sets.join(least, "group").select("set_id", "component_id"))
+    return by_doc.join(named, "set_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
