@@ -203,7 +203,9 @@ def benchmark_overlaps(docs: DataFrame, items: DataFrame, *, window: int = 128,
 
     score: the best passage's BM25 as a share of the item's own. Both overlaps, the shares of the
     question's and the answer's shingles that the document holds, must reach ``overlap``. An item
-    without words, a null item_id and a null or blank text give no rows; equal rows count once.
+    without words, a null item_id and a null or blank text give no rows; equal rows count once. Texts are searched
+    whole, however long. Rows that repeat a doc_id are searched each, and give one row an item, with the best of each
+    figure. Empty tables give no rows; other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
     small_batches(spark)

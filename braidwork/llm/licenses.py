@@ -173,7 +173,8 @@ def scan_licenses(docs: DataFrame, *, templates: dict[str, str] | None = None, t
     templates: notices and short forms of each licence, one a line; texts: whole texts. confirmed: words
     added to and missing from a line of templates, or for blocks of ``least_words`` and more from a span
     of templates and texts, are at most ``differ`` of the block's words. Null and blank texts, and texts that don't
-    speak of licensing, have no rows; rows that repeat a doc_id are scanned each.
+    speak of licensing, have no rows; rows that repeat a doc_id, or have none, are scanned each, whole. Of templates
+    that save as much, the first by name counts. An empty table gives no rows; other columns are ignored.
     """
     small_batches(docs.sparkSession)
     known, whole = dict(templates or TEMPLATES), dict(texts if texts is not None else {} if templates else TEXTS)

@@ -15,7 +15,6 @@ dimensions the nearest ten lie so far out that the radius takes in a good part o
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
 

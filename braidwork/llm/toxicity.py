@@ -73,8 +73,8 @@ class Ftrl:
 def train_toxicity(docs: DataFrame, labels: DataFrame, *, bits: int = 20, max_rows: int = 20_000, epochs: int = 2, alpha: float = 0.5, beta: float = 1.0, l1: float = 4.0, l2: float = 1.0) -> ToxicityModel:
     """Learn from the texts of docs (doc_id, text) that labels (doc_id, toxic) mark.
 
-    A doc_id that labels repeat takes its largest toxic; a null toxic or doc_id is no label. Without
-    labels every score is a half.
+    A doc_id that labels repeat takes its largest toxic; a null toxic or doc_id is no label. A doc_id that docs repeat
+    gives a sample for each row, within max_rows. Without labels every score is a half. Other columns are ignored.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -110,7 +110,11 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, *, bits: int = 20, max_ro
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, *, least: float = 0.7) -> DataFrame:
-    """docs (doc_id, text) to (doc_id, score, predicted), row by row; null and blank texts have the bias only."""
+    """docs (doc_id, text) to (doc_id, score, predicted), row by row; null and blank texts have the bias only.
+
+    Rows that repeat a doc_id, or have none, get a row each; an empty table gives an empty result, other columns are
+    ignored, whatever their names. A score that equals least is predicted 1.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     held = spark.sparkContext.broadcast(model)

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from braidwork.llm import decontamination, licenses, line_dedup, queries
@@ -249,3 +250,19 @@ def test_pipeline_stages_take_odd_rows_and_empty_tables(spark, folder, empty):
             docs = stage(spark, docs, path)
             assert docs.columns == corpus_pipeline.COLUMNS
         assert corpus_pipeline.STAGES[-1][1](spark, docs, path).count() == docs.count()
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_other_columns_change_nothing(spark, tmp_path, name):
+    rng = random.Random(5)
+    texts = [" ".join("".join(rng.choice("abcd") for _ in range(4)) for _ in range(40)) for _ in range(6)]
+    rows = [(k, t + "\n" + texts[0], "en" if k % 2 else "de", "s", 0) for k, t in enumerate([*texts, *texts[:2]])] + [(7, None, None, None, 0), (None, texts[1], "en", "s", 0)]
+    vectors = [(k, [rng.gauss(0, 1) for _ in range(8)]) for k in range(0, 300, 20)]
+    more = "row key set_id n k part lang_pred score ambiguous word item_id size at own ask anchor whole lines drop a b".split()
+    found = []
+    for extra in (False, True):
+        wide = lambda frame: frame.select("*", *(F.lit(c).alias(c) for c in more if c not in frame.columns)) if extra else frame  # noqa: E731, B023
+        others = {"benchmark": spark.createDataFrame([(1, texts[0]), (1, texts[0])], "item_id long, text string"), "labels": spark.createDataFrame([(k, k % 2) for k in range(6)], "doc_id long, toxic int"), "embeddings": spark.createDataFrame(vectors, "vec_id long, embedding array<double>")}
+        path = save(spark, tmp_path / str(extra), documents=wide(spark.createDataFrame(rows, DOCS)), **{t: wide(x) for t, x in others.items()})
+        found.append(sorted(str(r) for r in QUERIES[name](spark, path).collect()))
+    assert found[0] == found[1]
