@@ -1,4 +1,8 @@
-"""A corpus pipeline of five stages over the documents of a folder; see STAGES."""
+"""A corpus pipeline of five stages over the documents of a folder; see STAGES.
+
+Every stage takes the whole of its input and any columns besides COLUMNS, which it drops; all but the last return
+COLUMNS. An empty table gives an empty one, and texts are read whole, however long.
+"""
 
 from __future__ import annotations
 
@@ -21,24 +25,35 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that an earlier one holds; those left without a word go."""
+    """Documents without the lines that an earlier one holds, by alignment; those left without a word go.
+
+    Rows are told apart, so one of equal rows stays; a null doc_id comes first. Texts that lose nothing stay as they are,
+    null and blank ones included. n_chars counts what is left.
+    """
     kept = line_dedup.drop_repeated_lines(docs)
     kept = kept.where((F.col("n_removed") == 0) | F.col("text").rlike(mixing.WORD))
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
 def dedup_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least doc_id, of each group linked by five-word shingles at 0.8."""
+    """One document, that of the least doc_id, of each group linked by five-word shingles at 0.8.
+
+    All rows of a doc_id that is linked to a smaller one go; rows with a null doc_id, and texts without a word, stay, and
+    so do all rows that repeat the least doc_id of their group.
+    """
     return ngram_jaccard.drop_near_duplicates(docs, width=5, num=80, den=100).select(COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the test items of the benchmark table."""
+    """Documents without the test items of the benchmark table: all rows of a doc_id for which one row holds an item.
+
+    Rows with a null doc_id, and null and blank texts, stay.
+    """
     return decontamination.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How many words of each document the mix of sources takes."""
+    """How many words of each document the mix of sources takes: a row for each row, null ids and texts included."""
     return mixing.mix_sources(docs)[0]
 
 
