@@ -5,7 +5,7 @@ sample nearest to the corners of the cube). A code's substrings are indexed, eac
 within Hamming radius r of a query's agrees with it in some substring up to r / substrings bits, so
 probing each index with all values that near finds every such code; these are reranked by their floats.
 
-The radius is what holds ``aim`` of the true neighbours among the sample. Rows and queries are dealt to blocks of
+The radius is what holds ``aim`` of the nearest among the sample, as many as k of all rows come to there. Rows and queries are dealt to blocks of
 bounded size, and every block of queries meets every block of rows in a task of its own, which indexes the rows
 once for all the queries. Sample and rotation are all the driver holds; queries never pass through it.
 
@@ -152,7 +152,8 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, *, k: int = 10, b
     sample = sample[np.isfinite(sample).all(axis=1) & (sample != 0).any(axis=1)]
     if not len(sample):
         return spark.createDataFrame([], schema)
-    codes = fit_codes(sample, bits, k=k, aim=aim)
+    # the k nearest of all rows are about so many of the sample, which is the thinner
+    codes = fit_codes(sample, bits, k=max(1, round(k * len(sample) / number)), aim=aim)
     asked = named(queries).where(F.size("embedding") == size).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     # at least 4096 rows a block, so that an index is worth its while, and some tasks for small tables too
     own_blocks = max(-(-number // row_block), min(64, -(-number // 4096)))

@@ -234,6 +234,19 @@ def test_neighbours_recall_and_bad_vectors(spark):
     assert {r.query_id for r in got} == {0, 100, 200, 300} and hit >= 36
 
 
+def test_probes_spare_most_rows_of_clustered_vectors():
+    rng = np.random.default_rng(5)
+    x = np.repeat(rng.normal(size=(500, 64)), 40, axis=0) + 0.2 * rng.normal(size=(20_000, 64))
+    codes = nearest.fit_codes(x[rng.permutation(len(x))[:5000]], k=3)
+    report = nearest.probe_report(x, x[::400], codes)
+    assert report["probed"] < 0.1 and report["within"] < 0.01
+    index, flips, hit = nearest.SubstringIndex(codes.encode(x)), nearest._all_flips(codes), 0
+    for q in range(0, len(x), 400):
+        near = index.within(codes.encode(x[q : q + 1])[0], codes.radius, flips)
+        hit += len(set(np.argsort(((x - x[q]) ** 2).sum(axis=1))[1:11].tolist()) & set(near.tolist()))
+    assert hit >= 0.9 * 10 * 50
+
+
 def test_licenses_are_confirmed_by_wording(spark):
     rows = [(1, "Hi.\nReleased under the MIT License.\nBye"), (2, "this licensed sentence is about something else entirely, really"), (3, None), (4, "Plain. Licensed under CC BY-NC 4.0. More text.")]
     got = {r.doc_id: (r.license, r.confirmed) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
