@@ -112,3 +112,12 @@ def test_spans_move_to_the_parts_that_hold_them(spark):
     parts = spark.createDataFrame([("a", 1, 0, 10), ("a", 2, 20, 5)], "name string, k int, sbeg int, clen int")
     spans = spark.createDataFrame([("a", 2, 4), ("a", 12, 14), ("a", 20, 22), ("b", 0, 1)], "name string, beg int, end int")
     assert sorted(map(tuple, ranges.in_parts(spans, parts, "name").collect())) == [("a", 1, 2, 4), ("a", 2, 0, 2)]
+
+
+def test_empty_tables_give_no_rows(spark):
+    contigs = spark.createDataFrame([], "ctg long, seq string")
+    packed = S.packed_records(contigs)
+    assert S.seeds(packed).count() == S.kmer_table(packed).count() == S.lcp_histogram(packed).where("lcp > 0").count() == 0
+    assert S.chains(S.banded(S.seeds(packed), 0)).count() == kmers.prefix_cumulative(packed).count() == kmers.kmers_at(kmers.kmer_counts(packed), 10).count() == 0
+    pairs = spark.createDataFrame([], "k string, x int, y int, v int")
+    assert order.self_values(pairs, "k", "x", "y", "v").count() == order.average_ranks(pairs, "k", "v", "r").count() == order.lower_medians(pairs, "k", "v").count() == 0
