@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._store import small_batches, stored
-from ._text import BYTE_HASH, chunks, column_bytes, prefix_hash, span_hash
+from ._text import BYTE_HASH, chunks, column_bytes, mix, prefix_hash, span_hash
 
 _U = np.uint64
 _HIGH = _U(0xFFFFFFFF00000000)
@@ -66,35 +66,55 @@ def pieces(data: np.ndarray, offs: np.ndarray, length: int, gram: int) -> tuple[
 def sorted_suffixes(texts: list[np.ndarray], cap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Text, start and common prefix with the suffix before (at most cap) of all suffixes, in order.
 
-    Column-wise: round j turns the sorted suffixes of up to j symbols into those of up to j + 1. In
-    that order the symbols before the suffixes are the transform; a stable sort by them is the order of
-    the longer suffixes, and two neighbours there with equal symbols share one more than the least
-    common prefix between their places in the old order. Ends sort first, by text.
+    Column-wise: a round inserts one more symbol of every text, from the ends. In the order so far, the symbols before
+    the suffixes are the transform; where a text's next suffix goes follows from how many symbols less than its own,
+    or equal and before it, the transform holds. It shares one symbol more with its new neighbours of equal first
+    symbol than the least common prefix between their places in the old order. Ends sort first, by text.
     """
     count = len(texts)
     size = np.array([len(x) for x in texts], np.int64)
     gap = np.zeros(1, np.uint8)  # one place after each text, where its empty suffix stands
     flat = np.concatenate([y for x in texts for y in (x, gap)] or [gap])
     off = np.concatenate([[0], np.cumsum(size + 1)[:-1]]) if count else size
-    short = np.uint8 if cap < 256 else np.int32
-    ends = (np.arange(count, dtype=np.int32), (off + size).astype(np.int32), np.zeros(count, short))
-    who, at, lcp = ends  # at: where the suffix begins in flat
-    before = np.concatenate([gap, flat[:-1]])
-    closed = np.zeros(len(flat), bool)  # starts of texts have no symbol before them
-    closed[off] = True
-    for _ in range(int(size.max()) if count else 0):
-        open_ = np.flatnonzero(~closed[at])
-        symbol = before[at[open_]]
-        order = np.argsort(symbol, kind="stable")
-        old, symbol = open_[order], symbol[order]
-        same = np.flatnonzero(symbol[1:] == symbol[:-1])
-        new = np.zeros(len(old), short)
-        if len(same):
-            new[same + 1] = np.minimum(_least(lcp, old[same] + 1, old[same + 1]), cap - 1) + 1
-        who, at, lcp = np.concatenate([ends[0], who[old]]), np.concatenate([ends[1], at[old] - 1]), np.concatenate([ends[2], new])
+    before = np.concatenate([[0], flat[:-1].astype(np.uint16) + np.uint16(1)]).astype(np.uint16)
+    before[off] = 0  # nothing stands before a whole text
+    who, at = np.arange(count, dtype=np.int32), (off + size).astype(np.int32)
+    lcp = np.zeros(count, np.uint8 if cap < 256 else np.int32)
+    turn = before[at] if count else before[:0]  # the transform
+    place = np.arange(count)  # of the longest suffix so far of each text
+    open_ = np.flatnonzero(turn)
+    while len(open_):
+        p = place[open_]
+        order = np.argsort(turn, kind="stable")
+        closed = len(turn) - int(np.count_nonzero(turn))
+        rank = np.empty(len(turn), np.int32)
+        rank[order] = np.arange(len(turn), dtype=np.int32)
+        r = rank[p]
+        to = count + r - closed
+        prev, following = order[np.maximum(r - 1, 0)], order[np.minimum(r + 1, len(order) - 1)]
+        like, on = np.flatnonzero((r > closed) & (turn[prev] == turn[p])), np.flatnonzero((following != p) & (turn[following] == turn[p]))
+        shared = _least(lcp, np.concatenate([prev[like], p[on]]) + 1, np.concatenate([p[like], following[on]])) if len(like) + len(on) else lcp[:0]
+        shared = np.minimum(shared, cap - 1) + 1
+        old = np.ones(len(turn) + len(open_), bool)
+        old[to] = False
+        spread = lambda x, new: _merged(x, new, old, to)
+        start = at[p] - 1
+        who, at, turn, lcp = spread(who, open_), spread(at, start), spread(turn, before[start]), spread(lcp, 0)
+        lcp[to[like]] = shared[: len(like)]
+        lcp[to[on] + 1] = shared[len(like) :]
+        place[open_] = to
+        open_ = open_[before[start] > 0]
     return who, at - off[who], lcp
 
 
+def _merged(x: np.ndarray, new: np.ndarray | int, old: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """x where old holds, and new at the places to."""
+    out = np.empty(len(old), x.dtype)
+    out[old] = x
+    out[to] = new
+    return out
+
+
 def _least(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """The least of values[lo..hi], both included, for each pair."""
     level = np.frexp((hi - lo + 1).astype(np.float32))[1].astype(np.uint8) - np.uint8(1)  # floor of log2
@@ -149,6 +169,17 @@ def may_repeat(raw: np.ndarray, offs: np.ndarray, anchor: np.ndarray, rel: np.nd
     return low, high
 
 
+def _later_copies(whole: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Which pieces have an equal one here at an earlier (doc, start)."""
+    order = np.lexsort((start, doc, whole))
+    lead = np.ones(len(order), bool)
+    lead[1:] = whole[order[1:]] != whole[order[:-1]]
+    first = order[lead][np.cumsum(lead) - 1]
+    late = np.zeros(len(order), bool)
+    late[order] = (doc[order] != doc[first]) | (start[order] != start[first])
+    return late
+
+
 def _joined_spans(who: np.ndarray, beg: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Windows (who, beg) as maximal spans of bytes: who, first, end."""
     order = np.lexsort((beg, who))
@@ -185,13 +216,17 @@ def repeated_spans(docs: DataFrame, *, length: int = 100, gram: int = 32, crowd:
                 row, anchor, whole, start, rel, n = pieces(data, offs, length, gram)
                 if len(row):
                     at = pa.array(row + i)
-                    yield pa.record_batch([batch.column(0).take(at), batch.column(1).take(at), pa.array(anchor.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(start << 20 | rel << 10 | n)], ["row", "doc_id", "anchor", "whole", "place"])
+                    # what repeats an earlier piece right here needs no meeting: it is dealt anywhere, so copies don't pile up
+                    sure = _later_copies(whole, batch.column(1).to_numpy(zero_copy_only=False)[row + i], start)
+                    own = batch.column(0).to_numpy(zero_copy_only=False)[row + i].view(np.uint64)
+                    anchor = np.where(sure, mix(own + mix(start.astype(np.uint64))), anchor)
+                    yield pa.record_batch([batch.column(0).take(at), batch.column(1).take(at), pa.array(anchor.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(start << 20 | rel << 10 | n), pa.array(sure)], ["row", "doc_id", "anchor", "whole", "place", "sure"])
 
-    found = texts.mapInArrow(cut, "row long, doc_id long, anchor long, whole long, place long").repartition("anchor")
+    found = texts.mapInArrow(cut, "row long, doc_id long, anchor long, whole long, place long, sure boolean").repartition("anchor")
     here = F.struct("doc_id", F.col("place"))
     piece, group = Window.partitionBy("anchor", "whole"), Window.partitionBy("anchor")
     ranked = found.withColumn("lead", F.min(here).over(piece)).withColumn("lo", F.min("whole").over(group)).withColumn("hi", F.max("whole").over(group))
-    copy = ~(F.col("lead.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("lead.place") == F.col("place")))
+    copy = F.col("sure") | ~(F.col("lead.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("lead.place") == F.col("place")))
     ranked = ranked.withColumn("copy", copy).where(F.col("copy") | (F.col("lo") != F.col("hi")))
     ranked = stored(ranked.select("row", "doc_id", "anchor", F.shiftright("place", 20).alias("start"), F.shiftright("place", 10).bitwiseAND(1023).alias("rel"), F.col("place").bitwiseAND(1023).alias("n"), "copy"))
     copies = ranked.where("copy").select("row", F.col("start").alias("first"), (F.col("start") + F.col("n") - 1 + length).alias("end"))
