@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import zlib
+from collections.abc import Callable, Iterator
+from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown_lm, decontamination, language_id, licenses, line_dedup, mixing, nearest, ngram_jaccard, suffix_dedup, toxicity
+from . import brown_lm, decontamination, language_id, licenses, line_dedup, mixing, nearest, ngram_jaccard, packing, suffix_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,10 +70,28 @@ def op10_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown_lm.score_texts(docs, model, counts).withColumn("held_out", _is_part(0, 10))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    tokenizer = Path(public_tokenizers.path("word_bpe_49k.json")).read_text(encoding="utf-8")
+    packed = packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer, window=4096, end_id=2)
+    order = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "doc_row", "ids"]
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, at = batch.column(7).values.to_numpy().astype("<u4"), batch.column(7).offsets.to_pylist()
+            crc = pa.array([zlib.crc32(ids[a:b]) for a, b in zip(at, at[1:], strict=False)], pa.int64())
+            yield pa.record_batch([*batch.columns[:7], crc], names=[*order[:7], "ids_crc32"])
+
+    kinds = ", ".join(f"{c} long" for c in [*order[:7], "ids_crc32"])
+    return packed.select(order).mapInArrow(digest, kinds)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_ngram_jaccard_join, op2_benchmark_decontamination, op3_suffix_array_dedup, op4_language_id, op5_line_dedup,
         op6_nearest_neighbours, op7_license_scan, op8_source_mixing, op9_toxicity, op10_brown_lm,
+        op11_packing,
     )
     return {f.__name__: f for f in found}
 
