@@ -26,9 +26,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._store import small_batches, stored
-from ._text import SPACE, chunks, runs
+from ._text import BYTE_HASH, SPACE, chunks, prefix_hash, runs, span_hash
 
 KEPT_WORDS, KEPT_IDS = 1 << 20, 1 << 23  # a task forgets the ids of words when it holds more
+SHORT = 64  # bytes of a word whose ids are kept
+CHECK_HASH = np.random.Generator(np.random.PCG64(11)).integers(0, 2**64 - 1, 256, np.uint64)
 
 
 class Capacities:
@@ -249,24 +251,55 @@ class WordIds:
         self.forget()
 
     def forget(self) -> None:
-        self.known, self.ids, self.start, self.used = {}, np.zeros(1 << 16, np.int32), np.zeros((1 << 14) + 1, np.int64), 0
+        none = np.zeros(0, np.uint64)
+        self.known, self.check, self.begin, self.size = none, none, none.astype(np.int64), none.astype(np.int64)
+        self.ids, self.used = np.zeros(1 << 16, np.int32), 0
 
-    def learn(self, words: list[str]) -> None:
-        if len(self.known) + len(words) > KEPT_WORDS or self.used > KEPT_IDS:
-            self.forget()
-        new = [w for w in words if w not in self.known]
-        odd = [w for w in new if not self.by_parts or ODD.search(w)]
+    def encoded(self, words: list[str]) -> list[list[int]]:
+        odd = [w for w in words if not self.by_parts or ODD.search(w)]
         whole = dict(zip(odd, self.encoder.encode_batch(odd, add_special_tokens=False), strict=True))
-        found = [whole[w].ids if w in whole else [t.id for t in self.model.tokenize(w if w.isascii() else w.translate(self.spelt))] for w in new]
-        k = len(self.known)
-        self.known.update(zip(new, range(k, k + len(new)), strict=True))
-        until = self.used + np.cumsum([0, *map(len, found)])
+        return [whole[w].ids if w in whole else [t.id for t in self.model.tokenize(w if w.isascii() else w.translate(self.spelt))] for w in words]
+
+    def add(self, found: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        """Where in self.ids the ids of new words begin, and how many there are."""
+        size = np.array([len(x) for x in found], np.int64)
+        until = self.used + np.concatenate([[0], np.cumsum(size)])
         while until[-1] > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while k + len(until) > len(self.start):
-            self.start = np.concatenate([self.start, np.zeros_like(self.start)])
         self.ids[self.used : until[-1]] = [i for x in found for i in x]
-        self.start[k : k + len(until)], self.used = until, int(until[-1])
+        self.used = int(until[-1])
+        return until[:-1], size
+
+    def look_up(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """begin and size in self.ids of words; they are told apart by two hashes of 64 bits, long ones not at all."""
+        if len(self.known) > KEPT_WORDS or self.used > KEPT_IDS:
+            self.forget()
+
+        def texts(which: np.ndarray) -> list[str]:
+            return [data[a:b].tobytes().decode() for a, b in zip(begin[which].tolist(), end[which].tolist(), strict=True)]
+
+        at, size = np.zeros(len(begin), np.int64), np.zeros(len(begin), np.int64)
+        short = np.flatnonzero(end - begin <= SHORT)
+        one, two = (span_hash(prefix_hash(data, t), begin[short], end[short]) for t in (BYTE_HASH, CHECK_HASH))
+        word, first, which = np.unique(one, return_index=True, return_inverse=True)
+        check = two[first]
+        k = np.minimum(np.searchsorted(self.known, word), max(len(self.known) - 1, 0))
+        seen = self.known[k] == word if len(self.known) else np.zeros(len(word), bool)
+        if (check[which] != two).any() or (len(self.known) and (self.check[k[seen]] != check[seen]).any()):
+            short = short[:0]  # words that one hash doesn't tell apart: none is looked up
+        else:
+            new = np.flatnonzero(~seen)
+            where, many = self.add(self.encoded(texts(short[first[new]])))
+            place = np.searchsorted(self.known, word[new])
+            self.known, self.check = np.insert(self.known, place, word[new]), np.insert(self.check, place, check[new])
+            self.begin, self.size = np.insert(self.begin, place, where), np.insert(self.size, place, many)
+            k = np.searchsorted(self.known, word)[which]
+            at[short], size[short] = self.begin[k], self.size[k]
+        rest = np.ones(len(begin), bool)
+        rest[short] = False
+        if rest.any():
+            at[rest], size[rest] = self.add(self.encoded(texts(np.flatnonzero(rest))))
+        return at, size
 
     def __call__(self, data: np.ndarray, offs: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of each row, end_id after each, and the n + 1 offsets of the rows."""
@@ -274,14 +307,9 @@ class WordIds:
             data, begin, end = fragments(data, offs)
         else:
             begin, end = runs(data, offs, SPACE)
-        body, at = data[~SPACE[data]], np.concatenate([[0], np.cumsum(end - begin)]).astype(np.int64)
-        words = pa.LargeStringArray.from_buffers(len(begin), pa.py_buffer(at), pa.py_buffer(body)).dictionary_encode()
-        texts = words.dictionary.to_pylist()
-        self.learn(texts)
-        number = np.array([self.known[w] for w in texts], np.int64)[words.indices.to_numpy()] if texts else np.zeros(0, np.int64)
-        size = self.start[number + 1] - self.start[number]
+        at, size = self.look_up(data, begin, end)
         until = np.concatenate([[0], np.cumsum(size)])
-        ids = self.ids[np.repeat(self.start[number] - until[:-1], size) + np.arange(until[-1])]
+        ids = self.ids[np.repeat(at - until[:-1], size) + np.arange(until[-1])]
         rows = until[np.searchsorted(begin, offs)]
         return np.insert(ids, rows[1:], end_id), rows + np.arange(len(rows))
 
@@ -308,7 +336,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, *, window: int, end_id: int) -
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, row, seen, encode = TaskContext.get().partitionId(), 0, np.zeros(window + 1, np.int64), encoder_of(tokenizer)
         for batch in batches:
-            for a, b, data, offs in chunks(batch.column(1), 4 << 20):  # few chunks, so that words are looked up few times
+            for a, b, data, offs in chunks(batch.column(1), 2 << 20):  # few chunks, so that words are looked up few times
                 ids, rows = encode(data, offs, end_id)
                 tokens = np.diff(rows)
                 parts = -(-tokens // window)
