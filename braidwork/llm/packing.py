@@ -336,7 +336,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, *, window: int, end_id: int) -
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, row, seen, encode = TaskContext.get().partitionId(), 0, np.zeros(window + 1, np.int64), encoder_of(tokenizer)
         for batch in batches:
-            for a, b, data, offs in chunks(batch.column(1), 2 << 20):  # few chunks, so that words are looked up few times
+            for a, b, data, offs in chunks(batch.column(1)):
                 ids, rows = encode(data, offs, end_id)
                 tokens = np.diff(rows)
                 parts = -(-tokens // window)
@@ -379,7 +379,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, *, window: int = 4096, end_i
         counts[size] = n
     plan = close_gaps(best_fit(counts, window))
     earlier = Window.partitionBy("size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    base = by_task.select("size", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+    # stored, so that its size is known before the ids are: Spark broadcasts it if that is within its bound
+    base = stored(by_task.select("size", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base")))
     columns = ["doc_row", "doc_id", "doc_tokens", "start", "size", "number", "ids"]
     rows = pieces.join(base, ["size", "part"]).withColumn("number", F.col("number") + F.col("base")).select(columns)
 
