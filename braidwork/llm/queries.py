@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown_lm, decontamination, language_id, licenses, line_dedup, mixing, nearest, ngram_jaccard, packing, suffix_dedup, toxicity
+from . import brown_lm, conversation_trie, decontamination, language_id, licenses, line_dedup, mixing, nearest, ngram_jaccard, packing, phrases, suffix_dedup, toxicity
+from ._store import stored
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,11 +88,23 @@ def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select(order).mapInArrow(digest, kinds)
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = stored(conversation_trie.digest_turns(_table(spark, sf_dir, "conversations")))
+    convs = stored(turns.groupBy("conv_id").agg(F.count("*").alias("n_turns")))
+    c = F.col("conv_id")
+    turns, convs = conversation_trie.graft(turns, convs, c - c % 5, F.crc32(c.cast("string")) % 9, 8)
+    return conversation_trie.prefix_trie(turns, stored(convs))
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine_phrases(_table(spark, sf_dir, "documents"), least=10, absorb=50, top=2000)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_ngram_jaccard_join, op2_benchmark_decontamination, op3_suffix_array_dedup, op4_language_id, op5_line_dedup,
         op6_nearest_neighbours, op7_license_scan, op8_source_mixing, op9_toxicity, op10_brown_lm,
-        op11_packing,
+        op11_packing, op12_conversation_trie, op13_phrases,
     )
     return {f.__name__: f for f in found}
 
