@@ -132,6 +132,34 @@ kept as (select doc_id, coalesce(lag(e) over (partition by doc_id order by b, e)
 part as (select doc_id, string_agg(substr(h, 2 * f + 1, 2 * (b - f)), '' order by f) k from kept join t using (doc_id) group by 1),
 gone as (select doc_id, sum(e - b) r, count(*) c from span group by 1)
 select doc_id, cast(n as bigint) n_bytes, cast(coalesce(r, 0) as bigint) n_removed, coalesce(c, 0) n_spans, sha256(unhex(k)) kept_sha256 from t join part using (doc_id) left join gone using (doc_id)""",
+    "op12_conversation_trie": """with recursive t as (select i, 0 k, i v from range(256) r(i)
+  union all select i, k + 1, case when v % 2 = 1 then xor(v >> 1, 3988292384) else v >> 1 end from t where k < 8),
+tab as (select list(v order by i) tab from t where k = 8),
+own as (select conv_id, cast(conv_id as varchar) s, list({'r': coalesce(role, ''), 't': coalesce(text, '')} order by turn nulls first, coalesce(role, ''), coalesce(text, '')) w
+  from conversations where conv_id is not null group by 1),
+h as (select conv_id, w, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(s) + 1), lambda i: cast(ascii(s[i]) as bigint))),
+  lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) % 9 h from own, tab),
+reb as (select o.conv_id c, list_concat(coalesce(b.w[1:h], []), o.w[h + 1:]) w from h o left join own b on b.conv_id = o.conv_id - o.conv_id % 5),
+pre as (select c, d, w[1:d] p, len(w) n from (select *, unnest(range(0, len(w) + 1)) d from reb)),
+node as (select d, p, min(c) conv_id, count(*) n_convs, sha256(coalesce(array_to_string(list(c order by c) filter (n = d), ','), '')) ends_sha256 from pre group by d, p),
+kids as (select d - 1 d, p[1:d - 1] p, count(*) n_children from node where d > 0 group by all),
+whole as (select node.*, coalesce(n_children, 0) n_children, m.conv_id parent_conv_id, case when n_children is null then 1 else 0 end leaf,
+  case when node.d = 0 then 0 else (node.n_convs - 1) * strlen(node.p[node.d].t) end saved
+  from node left join kids using (d, p) left join node m on m.d = node.d - 1 and m.p = node.p[1:node.d - 1]),
+up as (select e d, p[1:e] p, cast(sum(leaf) as bigint) n_leaves, cast(sum(saved) as bigint) saved_tokens from (select *, unnest(range(0, d + 1)) e from whole) group by all)
+select conv_id, cast(d as bigint) depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256 from whole join up using (d, p)""",
+    "op13_phrases": r"""with p as (select coalesce(lang, 'und') lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) x from documents),
+w as (select lang, regexp_extract_all(x, '[^\x20\x09]+') w from p),
+g as (select lang, w[i:i + k - 1] ph from (select *, unnest(range(1, len(w) - k + 2)) i from (select *, unnest([1, 2, 3]) k from w) where len(w) >= k)),
+f as (select lang, ph, count(*) a from g group by all),
+n as (select lang, cast(sum(len(w)) as bigint) n from w group by 1),
+c as (select * from f where len(ph) > 1 and a >= 10),
+longer as (select lang, ph, max(b) b from (select lang, a b, unnest([ph[1:2], ph[2:3]]) ph from c where len(ph) = 3) group by all),
+cut as (select c.lang, c.ph, c.a, k, l.a l, r.a r, cast(cast(1000000 as hugeint) * c.a * c.a // (cast(l.a as hugeint) * r.a) as bigint) score
+  from (select *, unnest(range(1, len(ph))) k from c) c join f l on l.lang = c.lang and l.ph = c.ph[1:k] join f r on r.lang = c.lang and r.ph = c.ph[k + 1:len(c.ph)]),
+best as (select cut.*, row_number() over (partition by cut.lang, cut.ph order by score, k) o from cut left join longer using (lang, ph) where b is null or 100 * b < 50 * a),
+ranked as (select *, array_to_string(ph, ' ') phrase, row_number() over (partition by lang order by score desc, a desc, array_to_string(ph, ' ')) rank from best where o = 1)
+select lang, rank, phrase, a, l, r, n, score from ranked join n using (lang) where rank <= 2000""",
 }
 
 

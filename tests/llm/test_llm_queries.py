@@ -41,14 +41,14 @@ def real(spark):
 @pytest.fixture(scope="module")
 def folder(spark, real, tmp_path_factory):
     path = tmp_path_factory.mktemp("tables")
-    others = {t: spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("benchmark", "labels", "embeddings")}
+    others = {t: spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("benchmark", "labels", "embeddings", "conversations")}
     return save(spark, path, documents=spark.createDataFrame(real, DOCS), **others)
 
 
 @pytest.fixture(scope="module")
 def empty(spark, tmp_path_factory):
     path = tmp_path_factory.mktemp("none")
-    others = {t: spark.read.parquet(f"{DATA}/{t}.parquet").limit(0) for t in ("documents", "benchmark", "labels", "embeddings")}
+    others = {t: spark.read.parquet(f"{DATA}/{t}.parquet").limit(0) for t in ("documents", "benchmark", "labels", "embeddings", "conversations")}
     return save(spark, path, **others)
 
 
