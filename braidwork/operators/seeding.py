@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 from ..functions.bases import BAND_BITS, CHAIN_BREAK, CHAIN_MIN, FREQ, KMER, SMER, TMER, WINDOW, rank4, shared_symbols
 from ..store import stored
 from .ranges import mask_ahead
+from .tiles import windows
 
 HALF = KMER // 2  # bases of hi and of lo
-STRIDE = 256  # antidiagonals between anchors of a chain
+READ_WIDTH = 1 << 20  # syncmers of a window of a contig that one step looks for
 _ORDER = ["hi", "lo", "ctg", "place"]
 
 
@@ -45,16 +46,22 @@ def _checked(ranks: list[int] | None) -> np.ndarray | None:
     return None if ranks is None else np.array(ranks, np.int64)
 
 
-def _by_contig(contigs: DataFrame, schema: str, make) -> DataFrame:
-    """make(digits, raw bytes) of each contig long enough, as columns after ctg, row by row of an Arrow batch."""
+def _by_window(contigs: DataFrame, schema: str, make, width: int) -> DataFrame:
+    """make(digits, raw bytes, places) of each window of contigs, as columns after ctg, row by row of an Arrow batch.
+
+    places are the syncmers that the window owns, and make's first column is by place: where they begin in the contig
+    is added. A window sees what a k-mer at its first and its last place needs, so cuts change nothing.
+    """
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split()[0] for x in schema.split(", ")]
         for batch in batches:
             held: list[pa.RecordBatch] = []
-            for ctg, seq in zip(batch.column(0), batch.column(1), strict=True):
-                raw = np.frombuffer(seq.as_py().encode(), np.uint8)
-                columns = make(raw - 48, raw)
+            for ctg, start, lead, own, seq in zip(*batch.columns, strict=True):
+                raw = np.frombuffer(seq.as_buffer(), np.uint8)
+                if len(raw) < SMER + WINDOW - 1:
+                    continue
+                columns = make(raw - 48, raw, lead.as_py(), lead.as_py() + own.as_py(), start.as_py() - lead.as_py())
                 if len(columns[0]):
                     held.append(pa.record_batch([pa.repeat(ctg, len(columns[0])), *columns], names=names))
                 if sum(map(len, held)) > 50_000:
@@ -63,16 +70,22 @@ def _by_contig(contigs: DataFrame, schema: str, make) -> DataFrame:
             if held:
                 yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
-    return contigs.where(F.length("seq") >= SMER + WINDOW - 1).select(F.col("ctg").cast("long"), "seq").mapInArrow(run, schema)
+    return windows(contigs, width, before=KMER - TMER, after=KMER - 1).mapInArrow(run, schema)
 
 
-def syncmers(contigs: DataFrame, ranks: list[int] | None = None) -> DataFrame:
-    """(ctg, j): closed syncmers, the runs of WINDOW 8-mers whose least is the first or last; nothing is shuffled.
+def syncmers(contigs: DataFrame, ranks: list[int] | None = None, *, width: int = READ_WIDTH) -> DataFrame:
+    """(ctg, j): closed syncmers, the runs of WINDOW 8-mers whose least is the first or last.
 
-    ranks: the order of the 256 4-mers, in place of the linear rule.
+    ranks: the order of the 256 4-mers, in place of the linear rule. width: places of a window (see ``windows``); nothing
+    but the windows of longer contigs is shuffled.
     """
     given = _checked(ranks)
-    return _by_contig(contigs, "ctg long, j int", lambda digits, raw: [pa.array(_selected(digits, given), pa.int32())])
+
+    def make(digits: np.ndarray, raw: np.ndarray, low: int, high: int, shift: int) -> list[pa.Array]:
+        j = _selected(digits, given)
+        return [pa.array(j[(j >= low) & (j < high)] + shift, pa.int32())]
+
+    return _by_window(contigs, "ctg long, j int", make, width)
 
 
 def _kmers(raw: np.ndarray, at: np.ndarray) -> pa.Array:
@@ -90,42 +103,43 @@ def _packed(digits: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return whole[at], whole[at + HALF]
 
 
-def _places(digits: np.ndarray, ranks: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Where the forward k-mers begin, and the reverse ones' syncmers, of those that fit."""
+def _places(digits: np.ndarray, ranks: np.ndarray | None, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the forward k-mers begin, and the reverse ones' syncmers, of those from low to high that fit."""
     j, n = _selected(digits, ranks), len(digits)
+    j = j[(j >= low) & (j < high)]
     return j[j <= n - KMER], j[(j >= KMER - TMER) & (j + TMER <= n)]
 
 
-def records(contigs: DataFrame, ranks: list[int] | None = None) -> DataFrame:
+def records(contigs: DataFrame, ranks: list[int] | None = None, *, width: int = READ_WIDTH) -> DataFrame:
     """(ctg, pos, strand, kmer): a forward and a reverse k-mer at each syncmer, where they fit; k-mers as digits."""
     given = _checked(ranks)
 
-    def make(digits: np.ndarray, raw: np.ndarray) -> list[pa.Array]:
+    def make(digits: np.ndarray, raw: np.ndarray, low: int, high: int, shift: int) -> list[pa.Array]:
         if len(raw) < KMER:
             return [pa.array([], pa.int32())]
-        (ahead, back), n = _places(digits, given), len(raw)
+        (ahead, back), n = _places(digits, given, low, high), len(raw)
         # place p of the reverse complement is place n - 1 - p of the sequence
         turned = (3 - digits[::-1]).astype(np.uint8) + np.uint8(48)
         kmers = pa.concat_arrays([_kmers(raw, ahead), _kmers(turned, n - TMER - back)])
         pos, strand = np.concatenate([ahead, back + TMER]), np.repeat([0, 1], [len(ahead), len(back)])
-        return [pa.array(pos, pa.int32()), pa.array(strand, pa.int32()), kmers]
+        return [pa.array(pos + shift, pa.int32()), pa.array(strand, pa.int32()), kmers]
 
-    return _by_contig(contigs, "ctg long, pos int, strand int, kmer string", make)
+    return _by_window(contigs, "ctg long, pos int, strand int, kmer string", make, width)
 
 
-def packed_records(contigs: DataFrame, ranks: list[int] | None = None) -> DataFrame:
+def packed_records(contigs: DataFrame, ranks: list[int] | None = None, *, width: int = READ_WIDTH) -> DataFrame:
     """(hi, lo, ctg, place): the rows of records, packed."""
     given = _checked(ranks)
 
-    def make(digits: np.ndarray, raw: np.ndarray) -> list[pa.Array]:
+    def make(digits: np.ndarray, raw: np.ndarray, low: int, high: int, shift: int) -> list[pa.Array]:
         if len(raw) < KMER:
             return [pa.array([], pa.int64())]
-        ahead, back = _places(digits, given)
+        ahead, back = _places(digits, given, low, high)
         forward, reverse = _packed(digits, ahead), _packed(3 - digits[::-1], len(raw) - TMER - back)
-        place = np.concatenate([2 * ahead, 2 * (back + TMER) + 1])
+        place = np.concatenate([2 * ahead, 2 * (back + TMER) + 1]) + 2 * shift
         return [pa.array(place), *(pa.array(np.concatenate(x)) for x in zip(forward, reverse, strict=True))]
 
-    return _by_contig(contigs, "ctg long, place long, hi long, lo long", make).select(_ORDER)
+    return _by_window(contigs, "ctg long, place long, hi long, lo long", make, width).select(_ORDER)
 
 
 def _stretches(batches: Iterator[pa.RecordBatch], reach: int, size: int = 1 << 17) -> Iterator[tuple]:
@@ -272,10 +286,7 @@ def banded(found: DataFrame, longest: int) -> DataFrame:
 
 
 def chains(with_bands: DataFrame) -> DataFrame:
-    """Chains of seeds of a pair of contigs over two neighbouring bands, broken by antidiagonal gaps.
-
-    anchors: the longest seed (the first of ties) in each STRIDE of antidiagonals, in order.
-    """
+    """Chains of seeds of a pair of contigs over two neighbouring bands, broken by antidiagonal gaps."""
     key = ["ctg_a", "ctg_b", "comp"]
     s = with_bands.select(*key, "band", "ad", "dg", (2 * F.col("plen")).alias("w"))
     # a pair whose seeds don't cover CHAIN_MIN in all has no chain; most pairs go here, before they are sorted
@@ -290,14 +301,10 @@ def chains(with_bands: DataFrame) -> DataFrame:
     x = x.withColumn("pe", F.max(F.col("ad") + F.col("w")).over(before))
     x = x.withColumn("new", F.when(F.col("pe").isNull() | (F.col("ad") >= F.col("pe") + CHAIN_BREAK), 1).otherwise(0))
     x = x.withColumn("cid", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    stride = Window.partitionBy(*key, "base", "cid", F.floor(F.col("ad") / STRIDE)).orderBy(F.desc("w"), "ad", "dg")
-    x = x.withColumn("lead", F.row_number().over(stride) == 1)
     cover = F.when(F.col("new") == 1, F.col("w")).otherwise(F.greatest(F.lit(0), F.col("ad") + F.col("w") - F.greatest("ad", "pe")))
     g = x.groupBy(*key, "base", "cid").agg(
         F.min("ad").alias("alow"), F.max(F.col("ad") + F.col("w")).alias("ahgh"), F.min("dg").alias("dlow"), F.max("dg").alias("dhgh"),
         F.bit_or("role").alias("mix"), F.sum(cover).alias("cov"), F.bool_or((F.col("role") == 1) & F.col("below")).alias("below"),
-        F.collect_list(F.when(F.col("lead"), F.struct("ad", "dg", "w"))).alias("anchors"),
     )
     # a chain of one band's own seeds only is kept where no band lies below: else that one holds it too
-    kept = g.where((F.col("cov") >= CHAIN_MIN) & ((F.col("mix") != 1) | ~F.col("below"))).drop("below")
-    return kept.withColumn("anchors", F.array_sort("anchors"))
+    return g.where((F.col("cov") >= CHAIN_MIN) & ((F.col("mix") != 1) | ~F.col("below"))).drop("below")
