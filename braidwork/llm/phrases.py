@@ -35,7 +35,7 @@ BREAK[[0x20, 0x09]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 BUCKETS, FINE = 1 << 12, 1 << 6  # of first words, and of the pairs of each
-READ = 4 << 20  # bytes of text counted at a time
+READ = 1 << 20  # bytes of text counted at a time
 _U = np.uint64
 
 
@@ -207,7 +207,7 @@ def _score(left: Column, right: Column) -> Column:
     return F.call_function("div", F.lit(1_000_000).cast("decimal(7,0)") * a * a, b * c)
 
 
-def mine_phrases(docs: DataFrame, *, least: int = 10, absorb: int = 50, top: int = 2000, budget: int = 1 << 20, log_words: int = 24, log_pairs: int = 26) -> DataFrame:
+def mine_phrases(docs: DataFrame, *, least: int = 10, absorb: int = 50, top: int = 2000, budget: int = 1 << 18, log_words: int = 24, log_pairs: int = 26) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the top phrases of two and three words of each language.
 
     A-Z count as a-z; pieces end at .,;:!? and line ends, words at spaces and tabs. A null lang is ``und``; null and empty
