@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +26,64 @@ def running_total(rows: DataFrame, order: list[str], weight: Column, name: str)
     return summed.join(F.broadcast(offset), "_part").select(*(F.col(f"`{c}`") for c in rows.columns), (F.col("_base") + F.col("_in")).alias(name))
 
 
+@dataclass(frozen=True)
+class Scan:
+    """A running value over the rows of a key before each row, or up to it: kind is max, sum or last (non-null)."""
+
+    kind: str
+    value: Column
+    upto: bool = False
+
+
+_AGGREGATES = {"max": F.max, "sum": F.sum, "last": lambda c: F.last(c, ignorenulls=True)}
+_JOINED = {"max": F.greatest, "sum": lambda a, b: F.when(a.isNull() & b.isNull(), None).otherwise(F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))), "last": lambda a, b: F.coalesce(b, a)}
+
+
+def carried_scans(rows: DataFrame, key: list[str], order: list[str], scans: dict[str, Scan], *, block: Column | None = None) -> DataFrame:
+    """rows with a column for each scan over the rows of its key, in order, none of which lies in one task whole.
+
+    A key is worked on in blocks, each with what the blocks before it carry to it. block: of a row, rising with order;
+    by default the sorted range that the row falls into, and then the table of what is carried has a row a range at most,
+    as only a range's first key can go on from the range before.
+    """
+    columns = [F.col(f"`{c}`") for c in rows.columns]
+    cut = rows.select("*", *(s.value.alias(f"_v_{n}") for n, s in scans.items()))
+    if block is None:
+        cut = stored(cut.repartitionByRange(*key, *order).withColumn("_block", F.spark_partition_id()))
+    else:
+        cut = cut.withColumn("_block", block)
+    with_key = [*key, "_block"]
+    if any(s.kind == "last" for s in scans.values()):
+        place = F.struct(*order)
+        ends = [(F.max_by(F.col(f"_v_{n}"), F.when(F.col(f"_v_{n}").isNotNull(), place)) if s.kind == "last" else _AGGREGATES[s.kind](f"_v_{n}")).alias(f"_c_{n}") for n, s in scans.items()]
+    else:
+        ends = [_AGGREGATES[s.kind](f"_v_{n}").alias(f"_c_{n}") for n, s in scans.items()]
+    earlier = Window.partitionBy(*key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carry = cut.groupBy(*with_key).agg(*ends)
+    carry = carry.select(*with_key, F.row_number().over(Window.partitionBy(*key).orderBy("_block")).alias("_nth"), *(_AGGREGATES[s.kind](f"_c_{n}").over(earlier).alias(f"_c_{n}") for n, s in scans.items()))
+    carry = carry.where("_nth > 1").drop("_nth")
+    inside = Window.partitionBy(*with_key).orderBy(*order)
+    frames = {n: inside.rowsBetween(Window.unboundedPreceding, 0 if s.upto else -1) for n, s in scans.items()}
+    found = cut.select("*", *(_AGGREGATES[s.kind](f"_v_{n}").over(frames[n]).alias(f"_i_{n}") for n, s in scans.items()))
+    carry = carry.toDF(*(f"_k_{c}" for c in with_key), *carry.columns[len(with_key) :])
+    same = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in with_key]
+    found = found.join(F.broadcast(carry) if block is None else carry, same, "left")
+    return found.select(*columns, *(_JOINED[s.kind](F.col(f"_c_{n}"), F.col(f"_i_{n}")).alias(n) for n, s in scans.items()))
+
+
+def by_heat(rows: DataFrame, key: list[str], plain: Callable[[DataFrame], DataFrame], carried: Callable[[DataFrame], DataFrame], *, most: int = 1 << 22) -> DataFrame:
+    """plain over the rows of keys with up to most rows, together with carried over those of the others.
+
+    Both must give the same columns; of keys with more than most rows there are few by their nature.
+    """
+    hot = stored(rows.groupBy(*key).agg(F.count("*").alias("_n")).where(F.col("_n") > most).drop("_n"))
+    if not hot.take(1):
+        return plain(rows)
+    hot = F.broadcast(hot.toDF(*(f"_hot_{c}" for c in key)))
+    same = [F.col(c).eqNullSafe(F.col(f"_hot_{c}")) for c in key]
+    return plain(rows.join(hot, same, "left_anti")).unionByName(carried(rows.join(hot, same, "left_semi")))
+
+
 def numbered(rows: DataFrame, order: list[str], name: str = "rn") -> DataFrame:
     """rows with their number, from 1, in order."""
     return running_total(rows, order, F.lit(1).cast("long"), name).withColumn(name, F.col(name) + 1)

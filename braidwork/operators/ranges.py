@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import Scan, by_heat, carried_scans
+
 
 def _floor_to(x: Column, width: int) -> Column:
     return x - F.pmod(x, F.lit(width))
@@ -23,16 +25,28 @@ def overlapping_pairs(rows: DataFrame, key: str, ident: str, beg: str, end: str,
     return held.join(starts, [key, "bin"]).where("b_beg >= a_beg and b_beg < a_end and a <> b").select(key, "a", "b")
 
 
-def mask_ahead(points: DataFrame, masks: DataFrame, key: str, at: str, *, most: int) -> DataFrame:
+def _held(both: DataFrame, key: str, order: list[str], value: str, most_rows: int) -> DataFrame:
+    """both with value: the last non-null one up to each row of the key in order; hot keys in ranges."""
+
+    def plain(part: DataFrame) -> DataFrame:
+        return part.withColumn(value, F.last(value, ignorenulls=True).over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+
+    def cut(part: DataFrame) -> DataFrame:
+        part = part.withColumnRenamed(value, "_held")
+        return carried_scans(part, [key], order, {value: Scan("last", F.col("_held"), upto=True)}).drop("_held")
+
+    return by_heat(both, [key], plain, cut, most=most_rows)
+
+
+def mask_ahead(points: DataFrame, masks: DataFrame, key: str, at: str, *, most: int, most_rows: int = 1 << 22) -> DataFrame:
     """points with mask: how far (``most`` at most) the disjoint mask (key, beg, end) that holds the point still goes, else 0.
 
-    One sort of points and masks together takes the place of an interval join.
+    One sort of points and masks together takes the place of an interval join; a key of more than most_rows is cut into ranges.
     """
     marks = masks.select(key, F.col("beg").alias(at), F.lit(0).alias("kind"), F.col("end").alias("stop"))
     both = points.withColumn("kind", F.lit(1)).unionByName(marks, allowMissingColumns=True)
-    order = Window.partitionBy(key).orderBy(at, "kind").rowsBetween(Window.unboundedPreceding, 0)
-    left = F.last("stop", ignorenulls=True).over(order) - F.col(at)
-    held = both.withColumn("mask", F.greatest(F.lit(0), F.least(F.lit(most), F.coalesce(left, F.lit(0))))).where("kind = 1")
+    left = F.col("stop") - F.col(at)
+    held = _held(both, key, [at, "kind"], "stop", most_rows).withColumn("mask", F.greatest(F.lit(0), F.least(F.lit(most), F.coalesce(left, F.lit(0))))).where("kind = 1")
     return held.select(*points.columns, "mask")
 
 
@@ -83,13 +97,12 @@ def split_at_gaps(scaffolds: DataFrame, key: str, seq: str, *, gap: str, least:
     return parts.withColumn("sbeg", F.coalesce(F.sum(F.col("clen") + F.col("gap")).over(before), F.lit(0))).where("clen > 0").select(key, "k", "sbeg", "clen")
 
 
-def in_parts(spans: DataFrame, parts: DataFrame, key: str) -> DataFrame:
+def in_parts(spans: DataFrame, parts: DataFrame, key: str, *, most_rows: int = 1 << 22) -> DataFrame:
     """(key, k, beg, end): spans (key, beg, end) in the coordinates of the parts (key, k, sbeg, clen), disjoint, that hold their starts.
 
-    Spans that begin in no part go. One sort of both together takes the place of an interval join.
+    Spans that begin in no part go. One sort of both together takes the place of an interval join; hot keys are cut into ranges.
     """
     marks = parts.select(key, F.col("sbeg").alias("beg"), F.lit(0).alias("kind"), F.struct("k", "sbeg", (F.col("sbeg") + F.col("clen")).alias("stop")).alias("part"))
     both = spans.withColumn("kind", F.lit(1)).unionByName(marks, allowMissingColumns=True)
-    order = Window.partitionBy(key).orderBy("beg", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    held = both.withColumn("part", F.last("part", ignorenulls=True).over(order)).where("kind = 1 and beg < part.stop")
+    held = _held(both, key, ["beg", "kind"], "part", most_rows).where("kind = 1 and beg < part.stop")
     return held.select(key, "part.k", (F.col("beg") - F.col("part.sbeg")).alias("beg"), (F.col("end") - F.col("part.sbeg")).alias("end"))

@@ -15,10 +15,12 @@ from pyspark.sql import functions as F
 
 from ..functions.bases import BAND_BITS, CHAIN_BREAK, CHAIN_MIN, FREQ, KMER, SMER, TMER, WINDOW, rank4, shared_symbols
 from ..store import stored
+from .order import Scan, carried_scans
 from .ranges import mask_ahead
 from .tiles import windows
 
 HALF = KMER // 2  # bases of hi and of lo
+BLOCK = 1 << 21  # antidiagonals of a pair of bands that one step scans
 READ_WIDTH = 1 << 20  # syncmers of a window of a contig that one step looks for
 _ORDER = ["hi", "lo", "ctg", "place"]
 
@@ -285,25 +287,45 @@ def banded(found: DataFrame, longest: int) -> DataFrame:
     return found.withColumn("ad", ad).withColumn("diag", diag).withColumn("band", F.shiftright("diag", BAND_BITS)).withColumn("dg", F.col("diag").bitwiseAND((1 << BAND_BITS) - 1)).drop("diag")
 
 
-def chains(with_bands: DataFrame) -> DataFrame:
-    """Chains of seeds of a pair of contigs over two neighbouring bands, broken by antidiagonal gaps."""
+def block_for(longest: int) -> int | None:
+    """What chains takes as block for contigs of this length at most: None where all antidiagonals lie in one."""
+    return BLOCK if 4 * longest > BLOCK else None
+
+
+def chains(with_bands: DataFrame, *, block: int | None = BLOCK) -> DataFrame:
+    """Chains of seeds of a pair of contigs over two neighbouring bands, broken by antidiagonal gaps.
+
+    Bands are weighed first: only those are looked at that with the one above hold seeds of CHAIN_MIN in all. A pair of
+    bands is then scanned in blocks of antidiagonals, with what earlier blocks carry, so that one pair of long contigs
+    is the work of many tasks. block None: no contig is long enough to need blocks.
+    """
     key = ["ctg_a", "ctg_b", "comp"]
     s = with_bands.select(*key, "band", "ad", "dg", (2 * F.col("plen")).alias("w"))
-    # a pair whose seeds don't cover CHAIN_MIN in all has no chain; most pairs go here, before they are sorted
-    s = s.withColumn("all", F.sum("w").over(Window.partitionBy(*key))).where(F.col("all") >= CHAIN_MIN).drop("all")
-    present = Window.partitionBy(*key).orderBy("band").rangeBetween(-1, -1)
-    s = s.withColumn("below", F.count("*").over(present) > 0)
-    own = F.struct(F.col("band").alias("base"), F.col("ad"), F.col("dg"), F.col("w"), F.lit(1).alias("role"), F.col("below"))
-    low = F.when(F.col("below"), F.struct((F.col("band") - 1).alias("base"), F.col("ad"), (F.col("dg") + 64).alias("dg"), F.col("w"), F.lit(2).alias("role"), F.col("below")))
+    near, up = Window.partitionBy(*key).orderBy("band").rangeBetween(-1, -1), Window.partitionBy(*key).orderBy("band").rangeBetween(1, 1)
+    none = lambda x: F.coalesce(x, F.lit(0))
+    bands = s.groupBy(*key, "band").agg(F.sum("w").alias("own")).select("*", F.sum("own").over(near).alias("down"), F.sum("own").over(up).alias("above"))
+    role1, role2 = F.col("own") + none(F.col("above")) >= CHAIN_MIN, none(F.col("own") + F.col("down")) >= CHAIN_MIN
+    # stored, so that its size is known: it is small beside the seeds, and Spark broadcasts it if that is within its bound
+    bands = stored(bands.select(*key, "band", role1.alias("role1"), (role2 & F.col("down").isNotNull()).alias("role2"), F.col("down").isNotNull().alias("below")).where("role1 or role2"))
+    s = s.join(bands, [*key, "band"])
+    own = F.when(F.col("role1"), F.struct(F.col("band").alias("base"), F.col("ad"), F.col("dg"), F.col("w"), F.lit(1).alias("role"), F.col("below")))
+    low = F.when(F.col("role2"), F.struct((F.col("band") - 1).alias("base"), F.col("ad"), (F.col("dg") + 64).alias("dg"), F.col("w"), F.lit(2).alias("role"), F.col("below")))
     x = s.select(*key, F.inline(F.array_compact(F.array(own, low))))
-    order = Window.partitionBy(*key, "base").orderBy("ad", "role", "dg", "w")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    x = x.withColumn("pe", F.max(F.col("ad") + F.col("w")).over(before))
-    x = x.withColumn("new", F.when(F.col("pe").isNull() | (F.col("ad") >= F.col("pe") + CHAIN_BREAK), 1).otherwise(0))
-    x = x.withColumn("cid", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    cover = F.when(F.col("new") == 1, F.col("w")).otherwise(F.greatest(F.lit(0), F.col("ad") + F.col("w") - F.greatest("ad", "pe")))
-    g = x.groupBy(*key, "base", "cid").agg(
-        F.min("ad").alias("alow"), F.max(F.col("ad") + F.col("w")).alias("ahgh"), F.min("dg").alias("dlow"), F.max("dg").alias("dhgh"),
+    group, order = [*key, "base"], ["ad", "role", "dg", "w"]
+    ends = F.col("ad") + F.col("w")
+    fresh = F.when(F.col("pe").isNull() | (F.col("ad") >= F.col("pe") + CHAIN_BREAK), 1).otherwise(0)
+    if block is None:
+        rows = Window.partitionBy(*group).orderBy(*order)
+        x = x.withColumn("pe", F.max(ends).over(rows.rowsBetween(Window.unboundedPreceding, -1))).withColumn("new", fresh)
+        x = x.withColumn("cid", F.sum("new").over(rows.rowsBetween(Window.unboundedPreceding, 0)))
+    else:
+        at = F.floor(F.col("ad") / block)
+        x = carried_scans(x, group, order, {"pe": Scan("max", ends)}, block=at).withColumn("new", fresh)
+        x = x.withColumn("old", 1 - F.col("new"))  # of equal seeds the first is the new one
+        x = carried_scans(x, group, [*order, "old"], {"cid": Scan("sum", F.col("new"), upto=True)}, block=at)
+    cover = F.when(F.col("new") == 1, F.col("w")).otherwise(F.greatest(F.lit(0), ends - F.greatest("ad", "pe")))
+    g = x.groupBy(*group, "cid").agg(
+        F.min("ad").alias("alow"), F.max(ends).alias("ahgh"), F.min("dg").alias("dlow"), F.max("dg").alias("dhgh"),
         F.bit_or("role").alias("mix"), F.sum(cover).alias("cov"), F.bool_or((F.col("role") == 1) & F.col("below")).alias("below"),
     )
     # a chain of one band's own seeds only is kept where no band lies below: else that one holds it too

@@ -67,9 +67,17 @@ def _recs(spark: SparkSession, d: str) -> DataFrame:
     return S.packed_records(sequences_from_documents(spark, d))
 
 
-def _bands(spark: SparkSession, d: str) -> DataFrame:
-    longest = sequences_from_documents(spark, d).agg(F.max(F.length("seq"))).first()[0] or 0
-    return S.banded(S.seeds(_recs(spark, d)), longest)
+def _longest(spark: SparkSession, d: str) -> int:
+    return sequences_from_documents(spark, d).agg(F.max(F.length("seq"))).first()[0] or 0
+
+
+def _bands(spark: SparkSession, d: str, longest: int | None = None) -> DataFrame:
+    return S.banded(S.seeds(_recs(spark, d)), _longest(spark, d) if longest is None else longest)
+
+
+def _chains(spark: SparkSession, d: str) -> DataFrame:
+    longest = _longest(spark, d)
+    return S.chains(_bands(spark, d, longest), block=S.block_for(longest))
 
 
 def seq_encode_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -115,11 +123,11 @@ def pair_task_features(spark: SparkSession, d: str) -> DataFrame:
 
 
 def seed_chains(spark: SparkSession, d: str) -> DataFrame:
-    return S.chains(_bands(spark, d))
+    return _chains(spark, d)
 
 
 def near_duplicate_pairs(spark: SparkSession, d: str) -> DataFrame:
-    found = S.chains(_bands(spark, d)).where("not comp and ctg_a <> ctg_b")
+    found = _chains(spark, d).where("not comp and ctg_a <> ctg_b")
     return found.groupBy(F.least("ctg_a", "ctg_b").alias("x"), F.greatest("ctg_a", "ctg_b").alias("y")).agg(F.max("cov").alias("best"), F.count("*").alias("n_chains"))
 
 

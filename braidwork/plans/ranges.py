@@ -12,8 +12,9 @@ from ..operators import ranges as G
 from ..operators import relational as R
 from ..operators import seeding as S
 from ..operators.order import lower_medians
+from ..operators.scripts import scripts_of
 from ..sources.sequences import encoded, sequences_from_documents, table
-from .catalogue import _ENC, _POS, _REC, _SEQ, _bands, _micros, _recs
+from .catalogue import _BAND, _CHAIN, _ENC, _POS, _REC, _SEQ, _TO, _chains, _micros, _recs
 
 HOUR = 3_600_000_000
 
@@ -92,12 +93,37 @@ def pair_weights(spark: SparkSession, d: str) -> DataFrame:
 def align_overlaps(spark: SparkSession, d: str) -> DataFrame:
     contigs = sequences_from_documents(spark, d)
     longest = contigs.agg(F.max(F.length("seq"))).first()[0] or 0
-    return A.drop_redundant(A.fuse_paths(A.align_chains(S.chains(_bands(spark, d)), contigs, longest))).drop("trace")
+    return A.drop_redundant(A.fuse_paths(A.align_chains(_chains(spark, d), contigs, longest))).drop("trace")
+
+
+def overlap_dedupe(spark: SparkSession, d: str) -> DataFrame:
+    """Chains as boxes of antidiagonals and diagonals; those of one end, or inside another's box, go."""
+    low = F.col("base") * A.BAND
+    box = (F.col("alow").alias("abpos"), F.col("ahgh").alias("aepos"), (low + F.col("dlow")).alias("bbpos"), (low + F.col("dhgh") + 1).alias("bepos"))
+    return A.drop_redundant(_chains(spark, d).select("ctg_a", "ctg_b", "comp", *box, F.lit(0).alias("diffs"))).drop("diffs")
+
+
+def edit_scripts(spark: SparkSession, d: str) -> DataFrame:
+    """Scripts between the names of neighbouring parts of a brand: differences, and how much of both names they tell."""
+    was = F.lag("p_name").over(Window.partitionBy("p_brand").orderBy("p_partkey"))
+    found = scripts_of(table(spark, d, "part").withColumn("was", was).where("was is not null"), ["p_partkey"], "was", "p_name")
+    told = lambda skip: F.aggregate("script", F.lit(0), lambda s, r: s + F.when(r["op"] == skip, 0).otherwise(r["n"]))
+    return found.select("p_partkey", "n_diffs", told("I").alias("n_was"), told("D").alias("n_name"))
 
 
 _EV = "ev as (select user_id, event_id, event_type, epoch_us(ts) b, epoch_us(ts) + cast(floor(coalesce(value, 0) * 60000000) as bigint) e from events)"
 _BOTH = f"seqs as (select doc_id ctg, source scaf, {_ENC} seq from documents where length({_ENC}) >= 40 union all select -1 - item_id, null, {_ENC} from benchmark where length({_ENC}) >= 40)"
+_BOX = """o as (select gr.ctg_a, gr.ctg_b, gr.comp, alow abpos, ahgh aepos, base * 64 + dlow bbpos, base * 64 + dhgh + 1 bepos from gr left join bands b
+  on gr.ctg_a = b.ctg_a and gr.ctg_b = b.ctg_b and gr.comp = b.comp and b.band = gr.base - 1 where cov >= 170 and (mix <> 1 or b.band is null)),
+o1 as (select *, row_number() over (partition by ctg_a, ctg_b, comp, abpos, bbpos order by aepos - abpos desc, aepos, bepos) n1 from o),
+o2 as (select *, row_number() over (partition by ctg_a, ctg_b, comp, aepos, bepos order by aepos - abpos desc, abpos, bbpos) n2 from o1 where n1 = 1),
+box as materialized (select ctg_a, ctg_b, comp, abpos, aepos, bbpos, bepos, aepos - abpos + bepos - bbpos size from o2 where n2 = 1)
+select ctg_a, ctg_b, comp, abpos, aepos, bbpos, bepos from box x where not exists (select 1 from box w where w.ctg_a = x.ctg_a and w.ctg_b = x.ctg_b and w.comp = x.comp
+  and x.abpos >= w.abpos - 10 and x.aepos <= w.aepos + 10 and x.bbpos >= w.bbpos - 10 and x.bepos <= w.bepos + 10
+  and (w.size > x.size or (w.size = x.size and (w.abpos, w.bbpos, w.aepos, w.bepos) < (x.abpos, x.bbpos, x.aepos, x.bepos))))"""
 _SQL = {
+    "overlap_dedupe": _TO["seed"] + f", {_BAND}, {_CHAIN}, {_BOX}",
+    "edit_scripts": "select p_partkey, levenshtein(p_name, was) n_diffs, length(was) n_was, length(p_name) n_name from (select *, lag(p_name) over (partition by p_brand order by p_partkey) was from part) where was is not null",
     "contig_gap_split": "with z as (select doc_id ctg, string_split_regex(text, '[^A-Za-z]{2,}') p, regexp_extract_all(text, '[^A-Za-z]{2,}') g from documents where text is not null), u as (select ctg, unnest(range(1, len(p) + 1)) k, p, g from z), v as (select ctg, k, length(p[k]) clen, coalesce(length(g[k]), 0) gap from u), w as (select *, sum(clen + gap) over (partition by ctg order by k rows unbounded preceding) - clen - gap sbeg from v) select ctg, k, cast(sbeg as bigint) sbeg, clen from w where clen > 0",
     "lcp_histogram": f"with {_SEQ}, {_POS}, {_REC}, g as (select kmer, lag(kmer) over (order by kmer, ctg, pos, strand) was from rec) select lcp, count(*) n from (select case when was is null then 0 else len(list_filter(range(1, 41), lambda k: kmer[1:k] = was[1:k])) end lcp from g) group by lcp",
     "interval_overlap_pairs": f"with {_EV} select a.user_id, a.event_id a, b.event_id b from ev a join ev b on a.user_id = b.user_id and b.b >= a.b and b.b < a.e and a.event_id <> b.event_id",
