@@ -295,19 +295,25 @@ def block_for(longest: int) -> int | None:
 def chains(with_bands: DataFrame, *, block: int | None = BLOCK) -> DataFrame:
     """Chains of seeds of a pair of contigs over two neighbouring bands, broken by antidiagonal gaps.
 
-    Bands are weighed first: only those are looked at that with the one above hold seeds of CHAIN_MIN in all. A pair of
-    bands is then scanned in blocks of antidiagonals, with what earlier blocks carry, so that one pair of long contigs
-    is the work of many tasks. block None: no contig is long enough to need blocks.
+    Pairs whose seeds don't cover CHAIN_MIN in all have none; most go so, before they are sorted. block None: contigs
+    are short (see ``block_for``), which bounds the seeds of a pair, and a pair is one task's. Else its bands are
+    weighed, and those that with the one above hold seeds enough are scanned in blocks of antidiagonals, with what
+    earlier blocks carry, so that one pair of long contigs is the work of many tasks. The chains are the same.
     """
     key = ["ctg_a", "ctg_b", "comp"]
     s = with_bands.select(*key, "band", "ad", "dg", (2 * F.col("plen")).alias("w"))
-    near, up = Window.partitionBy(*key).orderBy("band").rangeBetween(-1, -1), Window.partitionBy(*key).orderBy("band").rangeBetween(1, 1)
-    none = lambda x: F.coalesce(x, F.lit(0))
-    bands = s.groupBy(*key, "band").agg(F.sum("w").alias("own")).select("*", F.sum("own").over(near).alias("down"), F.sum("own").over(up).alias("above"))
-    role1, role2 = F.col("own") + none(F.col("above")) >= CHAIN_MIN, none(F.col("own") + F.col("down")) >= CHAIN_MIN
-    # stored, so that its size is known: it is small beside the seeds, and Spark broadcasts it if that is within its bound
-    bands = stored(bands.select(*key, "band", role1.alias("role1"), (role2 & F.col("down").isNotNull()).alias("role2"), F.col("down").isNotNull().alias("below")).where("role1 or role2"))
-    s = s.join(bands, [*key, "band"])
+    near, up = (Window.partitionBy(*key).orderBy("band").rangeBetween(k, k) for k in (-1, 1))
+    if block is None:
+        s = s.withColumn("all", F.sum("w").over(Window.partitionBy(*key))).where(F.col("all") >= CHAIN_MIN).drop("all")
+        s = s.withColumn("below", F.count("*").over(near) > 0).withColumn("role1", F.lit(True)).withColumn("role2", F.col("below"))
+    else:
+        none = lambda x: F.coalesce(x, F.lit(0))
+        bands = s.groupBy(*key, "band").agg(F.sum("w").alias("own")).select("*", F.sum("own").over(near).alias("down"), F.sum("own").over(up).alias("above"))
+        role1, role2 = F.col("own") + none(F.col("above")) >= CHAIN_MIN, none(F.col("own") + F.col("down")) >= CHAIN_MIN
+        below = F.col("down").isNotNull()
+        # stored, so that its size is known, and Spark broadcasts it if that is within its bound
+        bands = stored(bands.select(*key, "band", role1.alias("role1"), (role2 & below).alias("role2"), below.alias("below")).where("role1 or role2"))
+        s = s.join(bands, [*key, "band"])
     own = F.when(F.col("role1"), F.struct(F.col("band").alias("base"), F.col("ad"), F.col("dg"), F.col("w"), F.lit(1).alias("role"), F.col("below")))
     low = F.when(F.col("role2"), F.struct((F.col("band") - 1).alias("base"), F.col("ad"), (F.col("dg") + 64).alias("dg"), F.col("w"), F.lit(2).alias("role"), F.col("below")))
     x = s.select(*key, F.inline(F.array_compact(F.array(own, low))))
