@@ -159,7 +159,8 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, *, k: int = 10, b
     own_blocks = max(-(-number // row_block), min(64, -(-number // 4096)))
     ask_blocks = max(1, -(-asked.count() // query_block))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = fits.withColumn("own", F.pmod(F.monotonically_increasing_id(), F.lit(own_blocks)).cast("int")).withColumn("ask", every(ask_blocks))
+    # equal rows are one candidate, and rows are dealt by what they hold, so that a task run again deals them alike
+    left = fits.distinct().withColumn("own", F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(own_blocks)).cast("int")).withColumn("ask", every(ask_blocks))
     right = asked.withColumn("ask", F.pmod(F.xxhash64("vec_id"), F.lit(ask_blocks)).cast("int")).withColumn("own", every(own_blocks))
     held = spark.sparkContext.broadcast(codes)
 
@@ -187,9 +188,13 @@ def _nearest_in_block(mine: pa.Table, sought: pa.Table, codes: Codes, size: int,
     for q, code in enumerate(codes.encode(query)):
         near = index.within(code, codes.radius, flips)
         near = near[names[near] != ids[q]]
-        if len(near) < k:  # fewer in the radius: the next nearest codes of this block
+        if len(near) < k or len(np.unique(names[near])) < k:  # fewer in the radius: the next nearest codes of this block
             others = np.flatnonzero(names != ids[q])
-            near = others[np.argsort(hamming(index.codes[others], code), kind="stable")[: 4 * k]]
+            others, n = others[np.argsort(hamming(index.codes[others], code), kind="stable")], 4 * k
+            near = others[:n]
+            while n < len(others) and len(np.unique(names[near])) < k:  # rows that repeat a vec_id are one candidate
+                n *= 2
+                near = others[:n]
         score, top, seen = np.sqrt(((vectors[near] - query[q]) ** 2).sum(axis=1)), [], set()
         for x in np.lexsort((names[near], score)):
             if names[near[x]] not in seen:
