@@ -76,7 +76,7 @@ def plan_bands(sizes: dict[int, tuple[int, float]], top: int, num: int, den: int
         need = largest_difference(2 * (high - 1), num, den) + 1
         units = need + 2 + need // 10
         best = None
-        for double in range(units // 2 + 1) if units <= 40 else (0,):
+        for double in range(0, units // 2 + 1, max(1, units // 200)):  # a hundred allocations of large bands are near enough
             single = units - 2 * double
             x = own * mean / (single + double)
             met = single * math.exp(-2 * x) + double * ((1 + x) * math.exp(-x)) ** 2

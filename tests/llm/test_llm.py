@@ -74,6 +74,26 @@ def test_jaccard_components_match_all_pairs(docs, empty, width, num):
     assert ngram_jaccard.link_components(empty).count() == 0
 
 
+def test_jaccard_by_one_deletion_keys_alone(spark, monkeypatch):
+    """As many segments as can be are met with one shingle left out, in every band; on a whole table."""
+    plan = ngram_jaccard.plan_bands
+
+    def forced(*args, **options):
+        return [ngram_jaccard.Band(b.low, b.high, b.need, u % 2, u // 2) for b in plan(*args, **options) for u in [b.single + 2 * b.double]]
+
+    monkeypatch.setattr(ngram_jaccard, "plan_bands", forced)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard.link_components(docs, width=4, num=85, den=100).collect()}
+    want = linked([tuple(r) for r in docs.collect()], 4, 85, 100)
+    assert got == want and any(v[1] != k for k, v in want.items())
+
+
+def test_jaccard_bands_of_all_sizes_may_delete():
+    sizes = {k: (10**6, 1.25 * 1.5**k) for k in range(25)}
+    bands = [b for b in ngram_jaccard.plan_bands(sizes, 20_000, 85, 100) if b.low > 200]
+    assert any(b.double for b in bands) and all(b.single + 2 * b.double >= b.need for b in bands)
+
+
 def test_jaccard_links_rows_that_repeat_a_doc_id(spark):
     text = " ".join(f"w{k}" for k in range(120))
     rows = [(1, text + " x"), (1, " ".join(f"v{k}" for k in range(120))), (2, text + " y"), (3, " ".join(f"u{k}" for k in range(120))), (None, text + " z"), (None, None)]
@@ -219,6 +239,16 @@ def test_patience_aligns_repeated_lines_and_gaps():
         assert bool(got) == bool(set(a) & set(b) - {0})
 
 
+def test_neighbours_are_k_distinct_ones(spark):
+    rng = np.random.default_rng(5)
+    near, far = rng.normal(size=16), rng.normal(size=(38, 16)) * 5
+    rows = [(0, near.tolist())] + [(1, (near + 0.01 * rng.normal(size=16)).tolist()) for _ in range(60)] + [(2 + k, v.tolist()) for k, v in enumerate(far)]
+    data = spark.createDataFrame(rows + rows[:5], "vec_id long, embedding array<double>")
+    got = sorted((r["rank"], r.vec_id, r.score) for r in nearest.nearest_neighbours(data, data.where("vec_id = 0"), k=10, bits=32).collect())
+    assert [g[0] for g in got] == list(range(1, 11)) and got[0][1] == 1 and len({g[1] for g in got}) == 10
+    assert got[0][2] == min(float(np.sqrt(((np.array(v) - near) ** 2).sum())) for i, v in rows if i == 1)
+
+
 def test_neighbours_recall_and_bad_vectors(spark):
     x = np.random.default_rng(0).normal(size=(400, 32)) + np.repeat(np.random.default_rng(1).normal(size=(8, 32)) * 2, 50, axis=0)
     rows = [(k, v.tolist()) for k, v in enumerate(x)] + [(900, None), (1000, [0.0] * 32), (1100, [float("nan")] * 32), (1200, [None] * 32), (1300, [1.0])]
