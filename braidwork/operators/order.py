@@ -97,10 +97,18 @@ def value_ranks(rows: DataFrame, key: str, by: str) -> DataFrame:
     return summed.join(base, F.col(key).eqNullSafe(F.col("_key"))).select(key, by, "n", (F.col("all_before") - F.col("_first")).alias("before"), "total")
 
 
-def average_ranks(rows: DataFrame, key: str, by: str, name: str) -> DataFrame:
-    """rows with the rank of by within key, ties averaged; no key is sorted in one task."""
-    ranks = value_ranks(rows, key, by).select(F.col(key).alias("_key"), F.col(by).alias("_by"), (F.col("before") + (F.col("n") + 1) / F.lit(2.0)).alias(name))
-    return rows.join(ranks, F.col(key).eqNullSafe(F.col("_key")) & (F.col(by) == F.col("_by"))).drop("_key", "_by")
+def average_ranks(rows: DataFrame, key: str, by: str, name: str, *, most: int = 1 << 22) -> DataFrame:
+    """rows with the rank of by within key, ties averaged; no key of more than most rows is sorted in one task."""
+
+    def plain(part: DataFrame) -> DataFrame:
+        ties = F.count("*").over(Window.partitionBy(key, by))
+        return part.withColumn(name, F.rank().over(Window.partitionBy(key).orderBy(by)) + (ties - 1) / F.lit(2.0))
+
+    def ranged(part: DataFrame) -> DataFrame:
+        ranks = value_ranks(part, key, by).select(F.col(key).alias("_key"), F.col(by).alias("_by"), (F.col("before") + (F.col("n") + 1) / F.lit(2.0)).alias(name))
+        return part.join(ranks, F.col(key).eqNullSafe(F.col("_key")) & (F.col(by) == F.col("_by"))).drop("_key", "_by")
+
+    return by_heat(rows.where(F.col(by).isNotNull()), [key], plain, ranged, most=most)
 
 
 def lower_medians(rows: DataFrame, key: str, by: str) -> DataFrame:

@@ -96,7 +96,7 @@ def align_overlaps(spark: SparkSession, d: str) -> DataFrame:
     return A.drop_redundant(A.fuse_paths(A.align_chains(_chains(spark, d), contigs, longest))).drop("trace")
 
 
-def overlap_dedupe(spark: SparkSession, d: str) -> DataFrame:
+def chain_boxes(spark: SparkSession, d: str) -> DataFrame:
     """Chains as boxes of antidiagonals and diagonals; those of one end, or inside another's box, go."""
     low = F.col("base") * A.BAND
     box = (F.col("alow").alias("abpos"), F.col("ahgh").alias("aepos"), (low + F.col("dlow")).alias("bbpos"), (low + F.col("dhgh") + 1).alias("bepos"))
@@ -122,7 +122,7 @@ select ctg_a, ctg_b, comp, abpos, aepos, bbpos, bepos from box x where not exist
   and x.abpos >= w.abpos - 10 and x.aepos <= w.aepos + 10 and x.bbpos >= w.bbpos - 10 and x.bepos <= w.bepos + 10
   and (w.size > x.size or (w.size = x.size and (w.abpos, w.bbpos, w.aepos, w.bepos) < (x.abpos, x.bbpos, x.aepos, x.bepos))))"""
 _SQL = {
-    "overlap_dedupe": _TO["seed"] + f", {_BAND}, {_CHAIN}, {_BOX}",
+    "chain_boxes": _TO["seed"] + f", {_BAND}, {_CHAIN}, {_BOX}",
     "edit_scripts": "select p_partkey, levenshtein(p_name, was) n_diffs, length(was) n_was, length(p_name) n_name from (select *, lag(p_name) over (partition by p_brand order by p_partkey) was from part) where was is not null",
     "contig_gap_split": "with z as (select doc_id ctg, string_split_regex(text, '[^A-Za-z]{2,}') p, regexp_extract_all(text, '[^A-Za-z]{2,}') g from documents where text is not null), u as (select ctg, unnest(range(1, len(p) + 1)) k, p, g from z), v as (select ctg, k, length(p[k]) clen, coalesce(length(g[k]), 0) gap from u), w as (select *, sum(clen + gap) over (partition by ctg order by k rows unbounded preceding) - clen - gap sbeg from v) select ctg, k, cast(sbeg as bigint) sbeg, clen from w where clen > 0",
     "lcp_histogram": f"with {_SEQ}, {_POS}, {_REC}, g as (select kmer, lag(kmer) over (order by kmer, ctg, pos, strand) was from rec) select lcp, count(*) n from (select case when was is null then 0 else len(list_filter(range(1, 41), lambda k: kmer[1:k] = was[1:k])) end lcp from g) group by lcp",

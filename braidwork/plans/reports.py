@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.bases import KMER, digits_of
+from ..functions.bases import KMER, digits_of, reverse_complement
 from ..operators import alignment as A
 from ..operators import kmers as K
 from ..operators import order as O
@@ -109,9 +109,8 @@ def masked_seed_counts(spark: SparkSession, d: str) -> DataFrame:
 
 def contig_pieces(spark: SparkSession, d: str) -> DataFrame:
     """Bases 100 to 160 of each contig that has them, and the same stretch of its other strand."""
-    piece = lambda x: F.substring(x, 101, 60)
-    other = F.translate(F.reverse("seq"), "0123", "3210")
-    return sequences_from_documents(spark, d).where(F.length("seq") >= 160).select("ctg", piece(F.col("seq")).alias("piece"), piece(other).alias("turned"))
+    contigs = sequences_from_documents(spark, d).where(F.length("seq") >= 160)
+    return contigs.select("ctg", F.substring("seq", 101, 60).alias("piece"), reverse_complement(F.substring(F.col("seq"), F.length("seq") - 159, F.lit(60))).alias("turned"))
 
 
 def mask_remap(spark: SparkSession, d: str) -> DataFrame:
@@ -146,10 +145,11 @@ def bag_union(spark: SparkSession, d: str) -> DataFrame:
 
 def line_sets(spark: SparkSession, d: str) -> DataFrame:
     """Distinct lines of documents and of conversations: in both, and in one alone."""
-    lines = lambda t: table(spark, d, t).where("text is not null").select(F.explode(F.split("text", "\n")).alias("line"))
-    docs, turns = lines("documents"), lines("conversations")
-    count = lambda rows, name: rows.groupBy(F.lit(name).alias("which")).agg(F.count("*").alias("n"))
-    return count(docs.intersect(turns), "both").unionAll(count(docs.subtract(turns), "documents")).unionAll(count(turns.subtract(docs), "conversations")).unionAll(count(docs.union(turns).distinct(), "any"))
+    lines = lambda t, k: table(spark, d, t).where("text is not null").select(F.explode(F.split("text", "\n")).alias("line"), F.lit(k).alias("k"))
+    held = lines("documents", 1).unionAll(lines("conversations", 2)).groupBy("line").agg(F.bit_or("k").alias("k")).groupBy("k").agg(F.count("*").alias("n"))
+    named = F.when(F.col("k") == 3, "both").when(F.col("k") == 1, "documents").otherwise("conversations")
+    both = F.explode(F.array(named, F.lit("any"))).alias("which")
+    return held.select(both, "n").groupBy("which").agg(F.sum("n").alias("n"))
 
 
 def overlap_dedupe(spark: SparkSession, d: str) -> DataFrame:

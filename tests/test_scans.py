@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from braidwork.operators import ranges, relational, seeding
-from braidwork.operators.order import Scan, by_heat, carried_scans
+from braidwork.operators.order import Scan, average_ranks, by_heat, carried_scans
 
 
 @pytest.fixture(scope="module")
@@ -46,6 +46,7 @@ def test_operators_give_the_same_rows_for_hot_keys(spark, points):
     masks = union.where("k is not null").select("k", F.col("beg"), F.col("end"))
     held = [ranges.mask_ahead(points.select("k", "i", "t"), masks, "k", "t", most=9, most_rows=n) for n in (10**6, 10)]
     assert same(*held) and held[0].where("mask > 0").count() > 5
+    assert same(average_ranks(points, "k", "v", "rank"), average_ranks(points, "k", "v", "rank", most=10))
     parts = masks.withColumn("p", F.row_number().over(Window.partitionBy("k").orderBy("beg"))).select("k", F.col("p").alias("k2"), F.col("beg").alias("sbeg"), (F.col("end") - F.col("beg")).alias("clen"))
     parts, own = parts.withColumnRenamed("k", "q").withColumnRenamed("k2", "k"), spans.select(F.col("k").alias("q"), F.col("b").alias("beg"), F.col("e").alias("end"))
     found = [ranges.in_parts(own, parts, "q", most_rows=n) for n in (10**6, 10)]
