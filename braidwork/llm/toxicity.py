@@ -70,7 +70,7 @@ class Ftrl:
         self.w[at] = np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((self.beta + np.sqrt(more)) / self.alpha + self.l2))
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, *, bits: int = 20, max_rows: int = 20_000, epochs: int = 2, alpha: float = 0.5, beta: float = 1.0, l1: float = 4.0, l2: float = 1.0) -> ToxicityModel:
+def train_toxicity(docs: DataFrame, labels: DataFrame, *, bits: int = 20, max_rows: int = 20_000, epochs: int = 3, alpha: float = 4.0, beta: float = 1.0, l1: float = 6.0, l2: float = 1.0) -> ToxicityModel:
     """Learn from the texts of docs (doc_id, text) that labels (doc_id, toxic) mark.
 
     A doc_id that labels repeat takes its largest toxic; a null toxic or doc_id is no label. A doc_id that docs repeat

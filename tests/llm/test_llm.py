@@ -313,6 +313,26 @@ def test_mix_meets_targets_and_agrees(docs, empty):
     assert sorted(mixing.permuted(np.arange(37), np.full(37, 37), np.full(37, 5, np.uint64)).tolist()) == list(range(37))
 
 
+def test_ftrl_equals_a_plain_loop():
+    rng = random.Random(9)
+    model, z, n = toxicity.Ftrl(30, 0.7, 1.0, 0.4, 0.5), [0.0] * 31, [0.0] * 31
+
+    def weight(k):
+        l1 = 0.0 if k == 30 else 0.4
+        return 0.0 if abs(z[k]) <= l1 else -(z[k] - (l1 if z[k] > 0 else -l1)) / ((1.0 + n[k] ** 0.5) / 0.7 + 0.5)
+
+    for _ in range(300):
+        at = sorted(rng.sample(range(30), 5))
+        label = int(at[0] % 3 == 0)
+        model.learn(np.array(at), label)
+        w = {k: weight(k) for k in [*at, 30]}
+        g = 1 / (1 + np.exp(-sum(w.values()))) - label
+        for k in w:
+            z[k] += g - ((n[k] + g * g) ** 0.5 - n[k] ** 0.5) / 0.7 * w[k]
+            n[k] += g * g
+    assert np.allclose(model.w, [weight(k) for k in range(31)]) and 0 < np.count_nonzero(model.w) <= 31
+
+
 def test_toxicity_learns_marked_words(spark, docs):
     rng = random.Random(6)
     rows = [(k, " ".join(rng.choice("red blue green tall wide old new".split()) for _ in range(20)) + (" vile" if k % 3 == 0 else "")) for k in range(300)] + [(900, None)]
