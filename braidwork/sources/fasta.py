@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.order import Scan, carried_scans
 from ..operators.ranges import split_at_gaps
+from ..store import stored
 
 
 def read_scaffolds(spark: SparkSession, path: str) -> DataFrame:
@@ -16,6 +18,32 @@ def read_scaffolds(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(head.alias("name"), F.regexp_replace(body, r"[\s>]", "").alias("bases"))
 
 
+def read_tiles(spark: SparkSession, path: str, width: int) -> DataFrame:
+    """(name, tile, bases): the records in tiles of width symbols, numbered from 0, without any record in one row.
+
+    Read by lines, so that one long record is read by many tasks; the name and the place of a line are carried over from
+    the lines before it in its file. Lines before the first header are of no record; records of one name and file, of
+    which FASTA has none, would run into each other. A record without symbols has no tile.
+    """
+    text = F.regexp_replace("value", r"\s+$", "")
+    lines = spark.read.text(path).select("_metadata.file_path", "_metadata.file_block_start", text.alias("value"))
+    lines = lines.withColumn("at", F.monotonically_increasing_id()).where("value <> ''")
+    lines = stored(lines)  # the number of a line is that of the task which read it
+    order, header = ["file_block_start", "at"], F.col("value").startswith(">")
+    size = F.when(header, 0).otherwise(F.length(F.regexp_replace("value", r"\s", ""))).cast("long")
+    placed = carried_scans(lines, ["file_path"], order, {"before": Scan("sum", size)})
+    began = F.when(header, F.struct(F.regexp_replace("value", r"^>[ \t]*", "").alias("name"), F.coalesce("before", F.lit(0)).alias("base")))
+    named = carried_scans(placed, ["file_path"], order, {"head": Scan("last", began, upto=True)}).where(~header & F.col("head").isNotNull())
+    rows = named.select("file_path", "head.name", (F.coalesce("before", F.lit(0)) - F.col("head.base")).alias("place"), F.regexp_replace("value", r"\s", "").alias("bases"))
+    first, last = (F.expr(f"({x}) div {width}") for x in ("place", "place + length(bases) - 1"))
+    rows = rows.select("*", F.explode(F.sequence(first, last)).alias("tile"))
+    low = F.greatest(F.lit(0), F.col("tile") * width - F.col("place"))
+    high = F.least(F.length("bases").cast("long"), (F.col("tile") + 1) * width - F.col("place"))
+    cut = rows.select("file_path", "name", "tile", F.struct((F.col("place") + low).alias("place"), F.substring(F.col("bases"), (low + 1).cast("int"), (high - low).cast("int")).alias("bases")).alias("piece"))
+    tiles = cut.groupBy("file_path", "name", "tile").agg(F.array_join(F.transform(F.array_sort(F.collect_list("piece")), lambda p: p["bases"]), "").alias("bases"))
+    return tiles.select("name", "tile", "bases")
+
+
 def contigs_of(scaffolds: DataFrame, *, least_gap: int = 1) -> DataFrame:
     """(name, k, sbeg, clen, seq): stretches between gaps as digits; symbols of shorter gaps count as A."""
     parts = split_at_gaps(scaffolds, "name", "bases", gap="[^ACGTacgt]", least=least_gap)

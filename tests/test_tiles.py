@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from braidwork.operators import alignment, seeding, tiles, waves
+from braidwork.sources import fasta
 
 
 def digits(rng, n, weights=(1, 1, 1, 1)):
@@ -195,3 +196,25 @@ def test_alignments_do_not_depend_on_tiles(spark, tile):
     assert {(r.ctg_a, r.ctg_b, r.comp) for r in made.collect()} == {(0, 1, True), (0, 2, False), (1, 2, True), (3, 3, False)}
     own = made.where("ctg_a = ctg_b").collect()
     assert len(own) == 1 and abs(own[0].abpos - 500) < 25 and abs(own[0].bbpos - 1500) < 25
+
+
+def test_fasta_is_read_by_lines_in_tiles(spark, tmp_path):
+    rng = random.Random(8)
+    for k in range(2):
+        with open(tmp_path / f"{k}.fa", "w") as f:
+            f.write("no record\n")
+            for r in range(4):
+                f.write(f">  rec{k}{r} x\r\n" if r % 2 else f">rec{k}{r} x\n")
+                for _ in range(rng.choice([0, 1, 400])):
+                    f.write("".join(rng.choice("ACGTN") for _ in range(rng.randrange(70))) + rng.choice(["\n", "\r\n", "\n\n"]))
+    want = {r.name: r.bases for r in fasta.read_scaffolds(spark, str(tmp_path / "*.fa")).collect() if r.name.startswith("rec")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 3000)
+    try:
+        got = fasta.read_tiles(spark, str(tmp_path), 50).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    made = {}
+    for r in sorted(got, key=lambda r: (r.name, r.tile)):
+        made[r.name] = made.get(r.name, "") + r.bases
+    assert made == {k: v for k, v in want.items() if v} and len(made) > 3
+    assert all(len(r.bases) == 50 or r.tile == len(made[r.name]) // 50 for r in got)
