@@ -2,8 +2,9 @@
 
 import os
 import random
+from collections import Counter
 
-from braidwork.operators import dealing
+from braidwork.operators import dealing, kmers
 from braidwork.operators import seeding as S
 
 
@@ -44,3 +45,25 @@ def test_ranges_of_kmers_see_their_neighbours(spark, tmp_path, monkeypatch):
         assert sorted(map(tuple, got.select("ctg", "pos", "strand", "lcp", "plen").collect())) == sorted(table)
         assert sorted(map(tuple, S.seeds(recs).collect())) == sorted(seeds)
     assert not any(tmp_path.iterdir())
+
+
+def test_counts_of_kmers_in_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr(dealing, "BATCH_ROWS", 500)
+    monkeypatch.setattr(dealing, "RANGE_ROWS", 20)
+    monkeypatch.setattr(kmers, "STRETCH", 7)
+    recs = S.packed_records(contigs_of(spark)).cache()
+    rows = recs.collect()
+    many = Counter((r.hi, r.lo) for r in rows)
+    assert max(many.values()) > 40  # cut into ranges of 20 rows, so some k-mers fill more than one
+    counts = kmers.kmer_counts(recs)
+    assert {(r.hi, r.lo): r.n for r in counts.collect()} == many and counts.count() == len(many)
+    assert [tuple(r) for r in kmers.numbered_kmers(recs).orderBy("rn").collect()] == [(k, *x, many[x]) for k, x in enumerate(sorted(many), 1)]
+    assert sorted(map(tuple, kmers.place_counts(recs).collect())) == sorted((r.ctg, r.place, many[r.hi, r.lo]) for r in rows)
+    text = lambda hi, lo: "".join(str(x >> 2 * (19 - k) & 3) for x in (hi, lo) for k in range(20))
+    least = Counter(min(k := text(r.hi, r.lo), "".join("3210"[int(c)] for c in k[::-1])) for r in rows)
+    assert Counter(text(r.hi, r.lo) for r in kmers.canonical(recs).collect()) == least
+    asked = recs.where("ctg = -20").limit(9)
+    some = {(r.hi, r.lo) for r in asked.collect()}
+    near = kmers.sharing_prefix(recs, asked)
+    assert sorted(near.collect()) == sorted(r for r in rows if r.hi >> 16 in {hi >> 16 for hi, _ in some})
+    assert sorted(kmers.next_kmers(asked, kmers.kmer_counts(near)).collect()) == sorted(kmers.next_kmers(asked, counts).collect())
