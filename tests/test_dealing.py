@@ -90,3 +90,19 @@ def test_texts_are_encoded_in_pieces(spark, monkeypatch):
     want = said.select("ctg", "scaf", encode(F.coalesce("text", F.lit(""))).alias("seq")).where("length(seq) >= 40")
     assert sorted(held[0]) == sorted(held[1]) == sorted(map(tuple, want.collect()))
     assert len(held[0]) > 50
+
+
+def test_pairs_of_contigs_in_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr(dealing, "RANGE_ROWS", 200)
+    monkeypatch.setattr(S, "STRETCH", 50)
+    recs = S.packed_records(contigs_of(spark)).cache()
+    seeds = [tuple(r) for r in S.seeds(recs).collect()]
+    n, cover = Counter(), Counter()
+    for a, _, b, _, comp, plen in seeds:
+        n[a, b, comp] += 1
+        cover[a, b, comp] += plen
+    pairs = S.pair_counts(recs).collect()
+    assert sorted((r.ctg_a, r.ctg_b, r.comp, r.n_seeds, r.sum_plen) for r in pairs) == sorted((*k, n[k], cover[k]) for k in n)
+    assert Counter((r.ctg_a, r.ctg_b) for r in pairs if r["first"]) == Counter({(a, b) for a, b, _ in n})
+    want = [r for r in seeds if 2 * cover[r[0], r[2], r[4]] >= 170]
+    assert sorted(map(tuple, S.chain_seeds(recs).collect())) == sorted(want) and 0 < len(want) < len(seeds)
