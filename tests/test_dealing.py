@@ -8,7 +8,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import functions as F
 
-from braidwork.functions.bases import encode
+from braidwork.functions.bases import encode, reverse_complement
 from braidwork.operators import dealing, kmers
 from braidwork.operators import seeding as S
 from braidwork.sources import sequences
@@ -106,3 +106,25 @@ def test_pairs_of_contigs_in_many_ranges(spark, monkeypatch):
     assert Counter((r.ctg_a, r.ctg_b) for r in pairs if r["first"]) == Counter({(a, b) for a, b, _ in n})
     want = [r for r in seeds if 2 * cover[r[0], r[2], r[4]] >= 170]
     assert sorted(map(tuple, S.chain_seeds(recs).collect())) == sorted(want) and 0 < len(want) < len(seeds)
+
+
+def test_bands_of_pairs_in_many_ranges(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("braidwork.store.shared_dir", lambda spark: str(tmp_path))
+    monkeypatch.setattr(dealing, "BATCH_ROWS", 500)
+    contigs = contigs_of(spark)
+    turned = contigs.where("ctg < 0").select(F.col("ctg") + 1000, reverse_complement(F.col("seq")))
+    twice = contigs.where("ctg = -13").selectExpr("ctg + 2000", "repeat(substr(seq, 1, 150), 2)")
+    recs = S.packed_records(contigs.unionAll(turned).unionAll(twice)).cache()
+    for longest in (400, 437):  # bands of a with b and of b with a are cut alike in one, and not in the other
+        bands = Counter(tuple(r) for r in S.banded(S.seeds(recs), longest).select("ctg_a", "ctg_b", "comp", "band").collect())
+        pairs = {k[:3]: [n for q, n in bands.items() if q[:3] == k[:3]] for k in bands}
+        want = sorted((*k, sum(n), len(n), max(n)) for k, n in pairs.items())
+        assert any(a == b for a, b, _ in pairs) and any(comp for *_, comp in pairs) and max(w[4] for w in want) > 1
+        assert any(sum(n) != sum(pairs.get((b, a, comp), [])) for (a, b, comp), n in pairs.items())  # seeds of a with b alone
+        for size in (1 << 20, 200, 40):
+            monkeypatch.setattr(dealing, "RANGE_ROWS", size)
+            monkeypatch.setattr(S, "STRETCH", size // 3)
+            got = S.band_counts(recs, longest)
+            assert sorted(map(tuple, got.collect())) == want
+            assert size > 1000 or got.rdd.getNumPartitions() > 10
+    assert not any(tmp_path.iterdir())
