@@ -128,3 +128,31 @@ def test_bands_of_pairs_in_many_ranges(spark, tmp_path, monkeypatch):
             assert sorted(map(tuple, got.collect())) == want
             assert size > 1000 or got.rdd.getNumPartitions() > 10
     assert not any(tmp_path.iterdir())
+
+
+def test_seeds_outside_masks_in_many_ranges(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("braidwork.store.shared_dir", lambda spark: str(tmp_path))
+    monkeypatch.setattr(dealing, "BATCH_ROWS", 500)
+    contigs = contigs_of(spark).cache()
+    rng, made = random.Random(8), []
+    for ctg, seq in contigs.collect():  # masks that touch, that go beyond the end, and none
+        cuts = sorted(rng.sample(range(0, len(seq) + 60, 5), 6))
+        made += [] if ctg % 3 == 0 else [(ctg, a, b) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if k != ctg % 5]
+    masks = spark.createDataFrame(made, "ctg long, beg int, end int")
+    ahead = lambda c, p: max([0, *(min(40, b - p) for x, a, b in made if x == c and a <= p < b)])
+    for width in (70, 1 << 20):
+        recs = S.packed_records(contigs, width=width, masks=masks)
+        assert sorted(map(tuple, recs.drop("mask").collect())) == sorted(map(tuple, S.packed_records(contigs).collect()))
+        assert all(r["mask"] == ahead(r.ctg, r.place >> 1) for r in recs.collect())
+    said = S.seeds(S.packed_records(contigs)).collect()
+    n, total = Counter(), Counter()
+    for a, i, b, j, comp, plen in said:
+        if ahead(a, i) < plen and ahead(b, j) < plen:
+            n[a, comp] += 1
+            total[a, comp] += plen
+    assert 0 < sum(n.values()) < len(said)
+    for size in (1 << 20, 200):
+        monkeypatch.setattr(dealing, "RANGE_ROWS", size)
+        monkeypatch.setattr(S, "STRETCH", size // 3)
+        assert sorted(map(tuple, S.unmasked_counts(contigs, masks).collect())) == sorted((*k, n[k], total[k]) for k in n)
+    assert not any(tmp_path.iterdir())
