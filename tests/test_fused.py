@@ -106,3 +106,27 @@ def test_frequent_kmers_are_few_where_they_are_dealt(spark, monkeypatch):
     few = sorted(map(tuple, S.seeds(recs).collect()))
     monkeypatch.setattr(S, "_few", lambda cols: cols)
     assert few == sorted(map(tuple, S.seeds(recs).collect())) and few
+
+
+def test_earlier_partners_meet_in_ranges_of_the_later(spark, monkeypatch):
+    monkeypatch.setattr(dealing, "BATCH_ROWS", 500)
+    order = {r.ctg: k for k, r in enumerate(more_contigs(spark).orderBy(F.length("seq").desc(), "ctg").select("ctg").collect())}
+    numbers = spark.createDataFrame(list(order.items()), "ctg long, nth long")
+    contigs = spark.createDataFrame(more_contigs(spark).join(numbers, "ctg").select(F.col("nth").alias("ctg"), "seq").collect())
+    lengths = contigs.select("ctg", F.length("seq").alias("length"))
+    size = dict(lengths.collect())
+    earlier = defaultdict(set)
+    for a, _, b, *_ in S.seeds(S.packed_records(contigs)).collect():
+        if b < a:
+            earlier[a].add(b)
+    want = sorted((x, y, k, size[x]) for x in earlier for k, y in enumerate(sorted(earlier[x], reverse=True)))
+    one_way = {(x, y) for x in earlier for y in earlier[x]}
+    assert len(want) > 50 and len(size) > len(earlier)
+    assert any((a, b) not in one_way for b, _, a, *_ in S.seeds(S.packed_records(contigs)).collect() if b < a)  # seeds of the earlier alone
+    for rows in (1 << 20, 200):
+        monkeypatch.setattr(dealing, "RANGE_ROWS", rows)
+        monkeypatch.setattr(S, "STRETCH", rows // 3)
+        found = S.earlier_partners(S.packed(contigs), lengths)
+        assert sorted(map(tuple, found.collect())) == want
+    held = plan(S.earlier_partners(S.packed(contigs), lengths))
+    assert "Join" not in held and "Window" not in held  # pairs are shuffled once
