@@ -150,3 +150,17 @@ def test_prefixes_and_boundaries_are_counted_in_ranges(spark, monkeypatch):
         assert sorted(map(tuple, S.boundary_counts(S.packed(contigs)).collect())) == sorted((*k, v) for k, v in kinds.items())
     # no row of a k-mer passes Spark: what makes records deals them out, and what puts them in order counts them
     assert plan(S.plen_counts(S.packed(contigs))).count("MapInArrow") == 2 + plan(S.packed(contigs).frame).count("MapInArrow")
+
+
+def test_every_kmer_of_the_order(spark, monkeypatch):
+    monkeypatch.setattr(dealing, "BATCH_ROWS", 500)
+    contigs = more_contigs(spark).cache()
+    many = Counter((r.hi, r.lo) for r in S.packed_records(contigs).collect())
+    rows = [(k, *x, many[x]) for k, x in enumerate(sorted(many), 1)]
+    for size, stretch in ((1 << 20, 1 << 17), (300, 100), (40, 7)):
+        monkeypatch.setattr(dealing, "RANGE_ROWS", size)
+        monkeypatch.setattr(K, "STRETCH", stretch)
+        for step in (1, 7, 1000):
+            found = K.every_kmer(S.packed(contigs), step)
+            assert sorted(map(tuple, found.collect())) == rows[::step]
+    assert len(rows) > 2000
