@@ -164,3 +164,17 @@ def test_every_kmer_of_the_order(spark, monkeypatch):
             found = K.every_kmer(S.packed(contigs), step)
             assert sorted(map(tuple, found.collect())) == rows[::step]
     assert len(rows) > 2000
+
+
+def test_profiles_in_ranges(spark, monkeypatch):
+    monkeypatch.setattr(dealing, "BATCH_ROWS", 500)
+    contigs = more_contigs(spark).cache()
+    want = sorted(map(tuple, K.count_profiles(S.packed_records(contigs)).collect()))
+    assert len(want) > 60 and max(r[1] for r in want) > 3 and max(r[2] for r in want) > 40
+    for size in (1 << 20, 600, 40):  # in ranges of 40 rows some k-mers fill more than one
+        monkeypatch.setattr(dealing, "RANGE_ROWS", size)
+        monkeypatch.setattr(K, "STRETCH", size // 3)
+        assert sorted(map(tuple, K.profile_runs(S.packed(contigs)).collect())) == want
+    monkeypatch.setattr(dealing, "RANGE_ROWS", 1 << 20)
+    held = plan(K.profile_runs(S.packed(contigs)))
+    assert held.count("REPARTITION_BY_NUM") == 2 and "Window" not in held and "Aggregate" not in held
