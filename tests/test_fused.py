@@ -11,6 +11,7 @@ from braidwork.functions.bases import reverse_complement
 from braidwork.operators import dealing
 from braidwork.operators import kmers as K
 from braidwork.operators import seeding as S
+from braidwork.sources import sequences
 
 
 def plan(frame):
@@ -206,3 +207,16 @@ def test_next_kmers_in_ranges(spark, monkeypatch):
     old = K.next_kmers(table, K.kmer_counts(recs))
     assert sorted((tuple(r) for r in old.select("ctg", "hi", "lo", "next_hi", "next_lo").collect()), key=key) == sorted(want, key=key)
     assert "unboundedfollowing" not in plan(old).lower().replace("$", "").replace("()", "")  # quadratic in a prefix
+
+
+def test_files_are_read_in_small_tasks(spark, tmp_path, monkeypatch):
+    rows = [(k, "ab c" * (20 + k), f"s {k % 3}") for k in range(60)]
+    path = f"{tmp_path}/a b"
+    spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4).write.partitionBy("source").parquet(f"{path}/documents.parquet")
+    want = sequences.sequences_from_documents(spark, path)
+    assert "Union" not in plan(want)
+    monkeypatch.setattr(sequences, "TASK_BYTES", 500)
+    found = sequences.sequences_from_documents(spark, path)
+    assert plan(found).count("Scan parquet") > 2 and "Exchange" not in plan(found)
+    assert found.schema == want.schema and sorted(found.collect()) == sorted(want.collect()) and found.count() == 60
+    assert {r.scaf for r in found.collect()} == {"s 0", "s 1", "s 2"}
